@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, neardup, quality, toxicity
+from . import bpe, decontaminate, neardup, quality, toxicity, url_reputation, warc
 from ._common import remainder, tune
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -30,6 +30,17 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "class_size", (F.col("doc_id") != F.col("class_id")).alias("is_duplicate"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+    f AS (SELECT *, CASE WHEN n >= {warc.LEAST_BYTES} THEN min(page_id) OVER (PARTITION BY d) END AS first FROM p)
+    SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+      CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to FROM f"""
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"), quality.training_rows())
@@ -52,9 +63,19 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), toxicity.flag(model, F.col("score"), F.col("lang")).alias("toxic"))
 
 
+#: (verdict, host, path prefix).
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcome of a page is the label under its number: bad if of low quality or toxic."""
+    labels = _table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_reputation.verdicts(_table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op4_order_minhash, op7_quality, op8_bpe, op9_toxicity)}
+    return {f.__name__: f for f in (op2_decontaminate, op4_order_minhash, op5_warc, op7_quality, op8_bpe, op9_toxicity, op10_url_reputation)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": OP5_SQL, "op10_url_reputation": url_reputation.oracle(URL_RULES, "SELECT doc_id AS i, (quality = 0 OR toxic = 1)::INT AS bad FROM labels")}
