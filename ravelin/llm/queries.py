@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, neardup, quality, toxicity, url_reputation, warc
+from . import bpe, decontaminate, imatch, neardup, quality, toxicity, url_reputation, warc
 from ._common import remainder, tune
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.classes(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "class_size", (F.col("doc_id") != F.col("class_id")).alias("is_duplicate"))
@@ -74,8 +78,8 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op4_order_minhash, op5_warc, op7_quality, op8_bpe, op9_toxicity, op10_url_reputation)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_imatch, op4_order_minhash, op5_warc, op7_quality, op8_bpe, op9_toxicity, op10_url_reputation)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5_SQL, "op10_url_reputation": url_reputation.oracle(URL_RULES, "SELECT doc_id AS i, (quality = 0 OR toxic = 1)::INT AS bad FROM labels")}
+    return {"op3_imatch": imatch.oracle(), "op5_warc": OP5_SQL, "op10_url_reputation": url_reputation.oracle(URL_RULES, "SELECT doc_id AS i, (quality = 0 OR toxic = 1)::INT AS bad FROM labels")}
