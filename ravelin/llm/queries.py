@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, decontaminate, imatch, neardup, quality, toxicity, url_reputation, warc
+from . import bpe, brown, decontaminate, html_extract, imatch, neardup, quality, toxicity, url_reputation, warc
 from ._common import remainder, tune
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -51,6 +51,10 @@ OP5_SQL = f"""
       CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to FROM f"""
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"), quality.training_rows())
@@ -84,7 +88,7 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_brown_lm, op2_decontaminate, op3_imatch, op4_order_minhash, op5_warc, op7_quality, op8_bpe, op9_toxicity, op10_url_reputation)}
+    return {f.__name__: f for f in (op1_brown_lm, op2_decontaminate, op3_imatch, op4_order_minhash, op5_warc, op6_html_extract, op7_quality, op8_bpe, op9_toxicity, op10_url_reputation)}
 
 
 def oracle_sql() -> dict[str, str]:
