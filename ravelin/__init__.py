@@ -1,0 +1 @@
+"""Ravelin: review, rating and basket analytics on Spark DataFrames."""
