@@ -41,6 +41,8 @@ from .url_reputation import host_and_path
 LEAST_BYTES = 100
 BLOCK_ENTRIES, PART_ENTRIES, MOST_PARTS = 2_000, 40_000, 4_096
 ARCHIVE_BYTES = 256 << 20
+#: So many shared payloads (a digest and an id each) are broadcast at most.
+BROADCAST_ROWS = 200_000
 _ID = "urn:page:"
 _TAIL = ">QQ"
 
@@ -103,6 +105,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("body"), F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("size"))
     shared = rows.where(F.col("size") >= LEAST_BYTES).select("digest", "page_id").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     revisit = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
+    # Few payloads are shared as a rule; then pages need no exchange.  Else they meet the table by their digest.
+    shared = written(shared, "shared")
+    if shared.count() <= BROADCAST_ROWS:
+        shared = F.broadcast(shared)
     rows = rows.join(shared, "digest", "left").select("page_id", "url", capture_key(F.col("url"), F.col("page_id")).alias("key"), F.when(~revisit, F.col("body")).alias("body"), "size", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
