@@ -298,11 +298,10 @@ def leave_one_out_avg(spark, d):
 
 
 def _weights_sql(who: str, what: str) -> str:
-    """Two-pass Pearson of the wanted pairs (view wanted: x, y) over the training ratings."""
+    """Pearson of the wanted pairs (view wanted: x, y) over the training ratings, from sums scaled by n, which are exact for integer stars."""
     return f"""common AS (SELECT x, y, a.stars AS rx, b.stars AS ry FROM wanted JOIN train a ON a.{who} = x JOIN train b ON b.{who} = y AND a.{what} = b.{what}),
-  centre AS (SELECT *, avg(rx) OVER (PARTITION BY x, y) AS mx, avg(ry) OVER (PARTITION BY x, y) AS my FROM common),
-  sums AS (SELECT x, y, count(*) AS n, sum((rx - mx) * (ry - my)) AS c, sum((rx - mx) ** 2) AS vx, sum((ry - my) ** 2) AS vy FROM centre GROUP BY x, y),
-  weights AS (SELECT x, y, n, CASE WHEN n < 2 OR vx < 1e-12 OR vy < 1e-12 THEN 0 ELSE c / sqrt(vx * vy) END AS w FROM sums)"""
+  sums AS (SELECT x, y, count(*) AS n, count(*) * sum(rx * ry) - sum(rx) * sum(ry) AS c, count(*) * sum(rx * rx) - sum(rx) * sum(rx) AS vx, count(*) * sum(ry * ry) - sum(ry) * sum(ry) AS vy FROM common GROUP BY x, y),
+  weights AS (SELECT x, y, n, CASE WHEN n < 2 OR vx <= 0 OR vy <= 0 THEN 0 ELSE c / sqrt(vx * vy) END AS w FROM sums)"""
 
 
 USER_NEAR = "near AS (SELECT t.user_id AS x, t.item_id, r.user_id AS y, r.stars AS ry FROM test t JOIN train r ON r.item_id = t.item_id), wanted AS (SELECT DISTINCT x, y FROM near)"
