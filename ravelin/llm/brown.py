@@ -90,7 +90,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
             table[was] -= right
             table[:, was] -= left
             table[was, was] -= own
-            rows, cols = table.sum(1), table.sum(0)
+            rows, cols = table.sum(1) + left, table.sum(0) + right  # with what u adds to every class
             gain = (f(table + right[None, :]) - f(table)).sum(1) + (f(table + left[:, None]) - f(table)).sum(0)
             on = table[each, each]
             gain += f(on + right + left + own) + f(on) - f(on + right) - f(on + left)
