@@ -47,7 +47,7 @@ _NAME = re.compile(r"[a-z]+")
 
 PATHS, WORDS = 1024, 512
 PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 14, 4, 7, 14
-PAGES, EPOCHS = 1_600, 14
+PAGES, EPOCHS = 3_000, 12
 
 
 @functools.lru_cache(8192)

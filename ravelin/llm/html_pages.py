@@ -48,6 +48,8 @@ class Pages:
         w = [self.r.choice(WORDS[kind]) if kind in WORDS and self.r.random() < 0.3 else self.word() for _ in range(self.r.randint(low, high))]
         if self.r.random() < 0.8:
             w[0] = w[0].capitalize()
+        if self.r.random() < 0.12:
+            w.insert(self.r.choice([0, len(w)]), str(self.r.randint(1, 2100)))
         return " ".join(w)
 
     def sentence(self) -> str:
@@ -87,9 +89,11 @@ class Pages:
             if kind == "side" and r.random() < 0.5:
                 out.append((f"<p>{self.para(2)}</p>", 0))
         elif kind == "comments":
-            out.append((f"<h3>{self.words(1, 3, kind)}</h3>", 0))
-            for _ in range(r.randint(1, 5)):
-                out += [(self.named(r.choice(["div", "li"]), kind), 0), (f"<span>{self.words(1, 3, kind)}</span>", 0), (f"<p>{self.para(5)}</p>", 0), ("</div>", 0)]
+            if r.random() < 0.8:
+                out.append((f"<h{(n := r.choice([2, 3, 3, 4]))}>{self.words(1, 3, kind)}</h{n}>", 0))
+            inner, chance = r.choice(["div", "li", "article", "section"]), r.choice([0.0, 0.8])
+            for _ in range(r.choice([1, 1, 2, 3, 6])):
+                out += [(self.named(inner, kind, chance), 0), (f"<span>{self.words(1, 3, kind)}</span>" if r.random() < 0.6 else "", 0), (f"<p>{self.para(5)}</p>" if r.random() < 0.8 else self.para(5), 0), (f"</{inner}>", 0)]
         elif kind == "form":
             out.append((f"<label>{self.words(1, 3, kind)}</label><input type=text>" + (f"<select><option>{self.word()}<option>{self.word()}</select>" if r.random() < 0.3 else "") + f"<button>{self.words(1, 2, kind)}</button>", 0))
         else:
@@ -127,6 +131,8 @@ class Pages:
                 out.append((f"<div>{self.para(3)}</div>", 1))
             else:
                 out += self.furniture(r.choice(["ad", "side", "notice", "form", "nav"]))
+        if r.random() < 0.12:
+            out += self.furniture("comments")
         return [*out, (f"</{tag}>", 0)]
 
     def page(self) -> list[tuple[str, int]]:
