@@ -52,8 +52,8 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: ids of each document, and whether they decode to its text."""
     tune(spark)
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    coded = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), bpe.encode(F.col("text"), path, pattern).alias("ids"))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (bpe.decode(F.col("ids"), path, pattern) == F.col("text").cast("binary")).alias("round_trip"))
+    coded = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), bpe.round_trip(F.col("text"), path, pattern).alias("x"))
+    return coded.select("doc_id", F.size("x.ids").cast("long").alias("n_tokens"), "x.ids", (F.col("x.decoded") == F.col("text").cast("binary")).alias("round_trip"))
 
 
 STAGES = [

@@ -65,8 +65,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    coded = _table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), path, pattern).alias("ids"))
-    full = coded.withColumn("decoded", bpe.decode(F.col("ids"), path, pattern))
+    full = _table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip(F.col("text"), path, pattern).alias("x")).select("doc_id", "x.ids", "x.decoded")
     return full.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -47,6 +47,8 @@ def test_columns(spark, library, odd_rows):
     assert len(out) == len(odd_rows)
     for r in out:
         assert r.x == library.encode_ordinary(r.text or "") and bytes(r.back) == (r.text or "").encode()
+    both = df.select("text", bpe.round_trip(F.col("text"), PATH, P.PATTERN).alias("x")).select("text", "x.*").collect()
+    assert all(r.ids == library.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode() for r in both)
     assert df.limit(0).select(bpe.encode(F.col("text"), PATH, P.PATTERN)).count() == 0
     null = spark.range(1).select(bpe.decode(F.lit(None).cast("array<int>"), PATH, P.PATTERN).alias("b")).first()
     assert bytes(null.b) == b""
