@@ -8,27 +8,10 @@ but the last item make one of the next level.  So supports come from joins on
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own: str | None = None
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Write a level to the cluster's shared folder and read it back, so that plans do not grow with the levels."""
-    global _own
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        _own = _own or tempfile.mkdtemp(prefix="ravelin-")
-        folder = f"file://{_own}"
-    path = f"{folder.rstrip('/')}/level-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..sources.work import written
 
 def baskets(pairs: DataFrame, case: int = 1, larger_than: int | None = None) -> DataFrame:
     """Distinct ``basket, item``: by user in case 1, else by business; optionally only baskets of more items than a threshold."""
@@ -68,9 +51,9 @@ def levels(rows: DataFrame, support: int, most: int | None = None) -> tuple[Data
     """
     if support < 1:
         raise ValueError("support must be at least 1")
-    first = _cut(rows.groupBy("item").agg(F.count("*").alias("support")).select(F.lit(1).alias("k"), F.array("item").alias("items"), "support"))
+    first = written(rows.groupBy("item").agg(F.count("*").alias("support")).select(F.lit(1).alias("k"), F.array("item").alias("items"), "support"), "level")
     frequent = first.where(F.col("support") >= support)
-    held = _cut(rows.join(frequent.select(F.col("items")[0].alias("item")), "item", "left_semi").select("basket", F.array("item").alias("items")))
+    held = written(rows.join(frequent.select(F.col("items")[0].alias("item")), "item", "left_semi").select("basket", F.array("item").alias("items")), "held")
     all_candidates, all_frequent, k = first, frequent, 1
     while (most is None or k < most) and len(frequent.limit(2).collect()) > 1:
         k += 1
@@ -79,9 +62,9 @@ def levels(rows: DataFrame, support: int, most: int | None = None) -> tuple[Data
         b = held.select("basket", F.slice("items", 1, k - 2).alias("begin"), F.element_at("items", -1).alias("y"))
         met = a.join(b, ["basket", "begin"]).where("x < y").select("basket", F.concat("begin", F.array("x", "y")).alias("items"))
         counted = met.groupBy("items").agg(F.count("*").alias("support"))
-        level = _cut(candidates.join(counted, "items", "left").select(F.lit(k).alias("k"), "items", F.coalesce("support", F.lit(0)).alias("support")))
+        level = written(candidates.join(counted, "items", "left").select(F.lit(k).alias("k"), "items", F.coalesce("support", F.lit(0)).alias("support")), "level")
         frequent = level.where(F.col("support") >= support)
-        held = _cut(met.join(frequent.select("items"), "items", "left_semi"))
+        held = written(met.join(frequent.select("items"), "items", "left_semi"), "held")
         all_candidates, all_frequent = all_candidates.unionByName(level), all_frequent.unionByName(frequent)
     return all_candidates, all_frequent
 

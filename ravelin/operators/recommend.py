@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, leave_one_out, pearson
+from ..sources.work import written
 
 NEIGHBOURS = 10
 
@@ -28,10 +29,23 @@ def leave_one_out_means(ratings: DataFrame, by: str = "user_id") -> DataFrame:
 
 
 def correlations(ratings: DataFrame, wanted: DataFrame, who: str, what: str) -> DataFrame:
-    """``x, y, n, w`` for the wanted pairs of ``who``, over the ``what`` that both rated; pairs with nothing in common are absent."""
+    """``x, y, n, w`` for the wanted pairs of ``who``, over the ``what`` that both rated; pairs with nothing in common are absent.
+
+    The ratings in common are found in the cheaper of two ways, by their exact
+    row counts: from each wanted pair through the ratings of x, or from each
+    ``what`` through the pairs of its raters.
+    """
+    wanted = written(wanted, "wanted")
     left = ratings.select(F.col(who).alias("x"), F.col(what).alias("k"), F.col("stars").alias("rx"))
     right = ratings.select(F.col(who).alias("y"), F.col(what).alias("k"), F.col("stars").alias("ry"))
-    common = wanted.join(left, "x").join(right, ["y", "k"])
+    asked = written(left.join(wanted.select("x").distinct(), "x", "left_semi"), "asked")
+    by_pair = wanted.groupBy("x").agg(F.count("*").alias("a")).join(asked.groupBy("x").agg(F.count("*").alias("b")), "x")
+    by_what = asked.groupBy("k").agg(F.count("*").alias("a")).join(right.groupBy("k").agg(F.count("*").alias("b")), "k")
+    through_pairs, through_what = (df.agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0] or 0 for df in (by_pair, by_what))
+    if through_what < through_pairs:
+        common = asked.join(right, "k").join(wanted, ["x", "y"], "left_semi")
+    else:
+        common = wanted.join(asked, "x").join(right, ["y", "k"])
     s = common.groupBy("x", "y").agg(F.count("*").alias("n"), F.sum("rx").alias("sx"), F.sum("ry").alias("sy"), F.sum(F.col("rx") * F.col("rx")).alias("sxx"), F.sum(F.col("ry") * F.col("ry")).alias("syy"), F.sum(F.col("rx") * F.col("ry")).alias("sxy"))
     return s.select("x", "y", "n", pearson(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]).alias("w"))
 
@@ -62,6 +76,7 @@ def user_cf(train: DataFrame, test: DataFrame, k: int = NEIGHBOURS, exclude_self
     near = asked.join(raters, "item_id").withColumnRenamed("user_id", "x")
     if exclude_self:
         near = near.where("x != y")
+    near = written(near, "near")
     weights = correlations(train, near.select("x", "y").distinct(), "user_id", "item_id").select("x", "y", "w")
     sums = _means(train, "user_id")
     near = near.join(weights, ["x", "y"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
@@ -88,7 +103,7 @@ def item_cf(train: DataFrame, test: DataFrame, k: int = NEIGHBOURS, echo_label:
     rated = train.select("user_id", F.col("item_id").alias("y"), F.col("stars").alias("ry"))
     own = train.select("user_id", "item_id", F.col("stars").alias("own"))
     new = asked.join(own, ["user_id", "item_id"], "left_anti")
-    near = new.join(rated, "user_id").withColumnRenamed("item_id", "x")
+    near = written(new.join(rated, "user_id").withColumnRenamed("item_id", "x"), "near")
     weights = correlations(train, near.select("x", "y").distinct(), "item_id", "user_id").select("x", "y", "w")
     near = near.join(weights, ["x", "y"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
     near = _ranked(near, ["user_id", "x"], k)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.minhash import BANDS, HASHES
 from ..operators import explore, itemsets, layout, recommend, similarity
 from ..sources import star_schema as tables
+from ..sources.work import written
 
 YEAR = tables.YEAR
 #: A set is frequent in this share of the order baskets, or of the part-type baskets.
@@ -282,7 +283,7 @@ def _split(spark, d) -> tuple[DataFrame, DataFrame]:
     rows = tables.rated(spark, d)
     newest = rows.groupBy("user_id").agg(F.max("order_id").alias("newest"))
     marked = rows.join(newest, "user_id")
-    part = lambda cond: recommend.last_ratings(marked.where(cond), ["order_id", "line"])
+    part = lambda cond: written(recommend.last_ratings(marked.where(cond), ["order_id", "line"]), "ratings")
     return part("order_id < newest"), part("order_id = newest")
 
 
