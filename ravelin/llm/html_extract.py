@@ -6,7 +6,8 @@ in numpy, reads for each block the hashed tags, class and id words of its path,
 its hashed words and a few measures, in page order, and labels every block in
 the context of the whole page.  The main text is the blocks labelled so.
 
-Scripts, styles and comments are no blocks.  Character references are decoded,
+Scripts, styles, comments and what is only for browsers without scripts are no
+blocks.  Character references are decoded,
 white space within a block (``<br>`` included) becomes one blank, blocks are
 trimmed, empty ones vanish, and the rest is joined by two line feeds.
 
@@ -36,12 +37,12 @@ from ._common import tune
 from .html_pages import Pages
 
 #: Elements that begin and end blocks, that have no end, that an equal sibling or a block closes.
-BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
+BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY = {"p": frozenset(BLOCK_TAGS - {"button", "label", "option"}), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option", "optgroup"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
 #: Inline elements do not matter to the path, but links to the share of linked text.
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|template)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>|<(/?)([a-z][a-z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-z][^>]*+(?:>|\Z)""", re.S | re.I)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>|<(/?)([a-z][a-z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-z][^>]*+(?:>|\Z)""", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
 

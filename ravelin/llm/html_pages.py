@@ -72,6 +72,8 @@ class Pages:
         names = [self.r.choice(NAMES[kind])]
         if self.r.random() < 0.3:
             names.append(self.r.choice(NAMES["plain"]))
+        elif kind not in ("main", "plain") and self.r.random() < 0.3:
+            names[0] += self.r.choice(["-", "_"]) + self.r.choice(NAMES[self.r.choice(["main", "plain"])])
         return f'<{tag} {self.r.choice(["class", "class", "id"])}="{" ".join(names)}">'
 
     def furniture(self, kind: str) -> list[tuple[str, int]]:
@@ -131,8 +133,10 @@ class Pages:
                 out.append((f"<div>{self.para(3)}</div>", 1))
             else:
                 out += self.furniture(r.choice(["ad", "side", "notice", "form", "nav"]))
-        if r.random() < 0.12:
-            out += self.furniture("comments")
+        for kind in ("header", "ad", "notice", "side", "form", "nav", "comments", "footer"):
+            if r.random() < 0.06:
+                at = len(out) if r.random() < 0.6 or kind in ("comments", "footer") else 1
+                out[at:at] = self.furniture(kind)
         return [*out, (f"</{tag}>", 0)]
 
     def page(self) -> list[tuple[str, int]]:
