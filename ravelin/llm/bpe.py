@@ -27,13 +27,13 @@ from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Encoded pre-tokens that a Python worker remembers; beyond, the older half goes.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 500_000
 #: Longer pre-tokens are not remembered.
 CACHE_CHARS = 48
 #: So many new pre-tokens go through one queue.
@@ -237,6 +237,11 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    cuts = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
+
+
 def encode(text: Column, path: str, pattern: str) -> Column:
     """Ids (array of int) of a text column.
 
@@ -245,11 +250,11 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     ``\\s`` and ``\\S`` by Unicode's White_Space property.
     """
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType(), False))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path, pattern)
         for texts in batches:
-            yield pd.Series(c.encode_all(list(texts)), dtype=object)
+            yield _lists(c.encode_all(texts.to_pylist()))
 
     return run(F.coalesce(text, F.lit("")))
 
@@ -257,11 +262,11 @@ def encode(text: Column, path: str, pattern: str) -> Column:
 def decode(ids: Column, path: str, pattern: str) -> Column:
     """Bytes (binary) of a column of id lists."""
 
-    @F.pandas_udf(T.BinaryType())
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.BinaryType())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path, pattern)
         for lists in batches:
-            yield pd.Series([c.decode(x.tolist()) for x in lists], dtype=object)
+            yield pa.array([c.decode(x) for x in lists.to_pylist()], pa.binary())
 
     return run(F.coalesce(ids, F.array().cast("array<int>")))
 
@@ -272,11 +277,11 @@ def round_trip(text: Column, path: str, pattern: str) -> Column:
     The ids need not travel to a second Python worker to be decoded.
     """
 
-    @F.pandas_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())]))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path, pattern)
         for texts in batches:
-            ids = c.encode_all(list(texts))
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([c.decode(x.tolist()) for x in ids], dtype=object)})
+            ids = c.encode_all(texts.to_pylist())
+            yield pa.StructArray.from_arrays([_lists(ids), pa.array([c.decode(x.tolist()) for x in ids], pa.binary())], ["ids", "decoded"])
 
     return run(F.coalesce(text, F.lit("")))
