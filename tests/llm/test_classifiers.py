@@ -113,3 +113,24 @@ def test_normal_equations_equal_a_direct_fit(data, quality_model):
     y = np.array([float(r.q) for r in fit])
     w = np.linalg.solve(a.T @ a + quality.RIDGE * len(y) * np.eye(a.shape[1]), a.T @ y)
     assert np.allclose(w, quality_model.weight, atol=1e-6)
+
+
+def test_scores_keep_the_share_of_toxic_rows_beyond_the_sample():
+    """The same scores, with clean rows thinned to a ninth: the fit and the cut are those of all rows."""
+    r = np.random.default_rng(4)
+    z = np.concatenate([r.normal(-1, 1, 9000), r.normal(1, 1, 1000)])
+    y = np.repeat([0.0, 1.0], [9000, 1000])
+    some = np.concatenate([np.arange(0, 9000, 9), np.arange(9000, 10000)])
+    stands = np.where(y[some] > 0, 1.0, 9.0)
+    whole, thin = toxicity._platt(z, y), toxicity._platt(z[some], y[some], stands)
+    assert np.allclose(whole, thin, atol=0.3) and abs(toxicity._platt(z[some], y[some])[1] - whole[1]) > 1.5
+    assert abs(toxicity._best_cut(z[some], y[some], stands) - toxicity._best_cut(z, y)) < 0.3
+
+
+def test_a_capped_sample_keeps_the_prior(spark):
+    """900 clean and 100 toxic rows that words tell apart badly: with 100 of each learnt from, the mean score stays near a tenth."""
+    r = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{k}" for k in r.integers(0, 30, 12)), "en", int(i % 10 == 0)) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = toxicity.fit(docs, docs.select("doc_id", "toxic"), F.lit(True), rows=100)
+    assert model.score([toxicity.words(t.encode()) for _, t, _, _ in rows]).mean() < 0.3
