@@ -202,7 +202,7 @@ def frequent_k3(spark, d):
   SELECT k, items, n AS support FROM found, least WHERE n >= s""")
 def frequent_filtered(spark, d):
     rows = _brands(spark, d, LARGER_THAN)
-    found = itemsets.levels(rows, _support(rows, SHARE), 3)[1]
+    found = itemsets.levels(rows, _support(rows, SHARE))[1]
     return found.select("k", F.array_join("items", ",").alias("items"), "support")
 
 

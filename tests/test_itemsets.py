@@ -72,3 +72,22 @@ def test_against_brute_force(spark, held, support):
     rows = spark.createDataFrame([(b, i) for b, s in enumerate(held) for i in sorted(s)], "basket long, item string")
     expected = {c: n for k in range(1, 7) for c in combinations("abcdef", k) if (n := sum(set(c) <= s for s in held)) >= support}
     assert sets(itemsets.levels(rows, support)[1]) == expected
+
+
+def test_filtered_query_goes_beyond_sets_of_three(spark):
+    """Against the sets of every size, counted in the baskets of more than three items."""
+    from ravelin.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    held = {}
+    for r in queries._brands(spark, sf, queries.LARGER_THAN).collect():
+        held.setdefault(r.basket, set()).add(r.item)
+    counts = {}
+    for items in held.values():
+        for k in range(1, len(items) + 1):
+            for c in combinations(sorted(items), k):
+                counts[c] = counts.get(c, 0) + 1
+    least = max(1, -int(-queries.SHARE * len(held) // 1))
+    expected = {(len(c), ",".join(c), n) for c, n in counts.items() if n >= least}
+    got = {tuple(r) for r in queries.frequent_filtered(spark, sf).select("k", "items", "support").collect()}
+    assert max(k for k, _, _ in expected) > 3 and got == expected
