@@ -31,7 +31,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +45,17 @@ ARCHIVE_BYTES = 256 << 20
 BROADCAST_ROWS = 200_000
 _ID = "urn:page:"
 _TAIL = ">QQ"
+CAPTURE = [("key", pa.string()), ("file", pa.string()), ("start", pa.int64()), ("size", pa.int64())]
+PART = [("first", pa.binary()), *CAPTURE[1:]]
+
+
+def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows as they are: Arrow keeps integers whole beside nulls."""
+    return zip(*[c.to_pylist() for c in batch.columns], strict=True)
+
+
+def batch_of(rows: list, columns: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(columns)], [name for name, _ in columns])
 
 
 def store(uri: str):
@@ -61,17 +72,17 @@ def capture_key(url: Column, page_id: Column) -> Column:
     at = F.instr(url, "://")
     rest = F.regexp_extract(F.substring(url, at + 3 + F.length(host), F.length(url)), "^[^#]*", 0)
     key = F.when(at > 0, F.concat(F.array_join(F.reverse(F.split(host, "\\.")), ","), F.lit(")"), rest)).otherwise(url)
-    number = F.when(page_id.isNull(), "-").when(page_id < 0, F.concat(F.lit("-"), F.lpad((-page_id).cast("string"), 20, "0"))).otherwise(F.lpad(page_id.cast("string"), 20, "0"))
+    number = F.when(page_id.isNull(), "-").when(page_id < 0, F.concat(F.lit("-"), F.lpad(F.substring(page_id.cast("string"), 2, 20), 20, "0"))).otherwise(F.lpad(page_id.cast("string"), 20, "0"))
     return F.concat(F.regexp_replace(key, "[\\s\\x00]", "%20"), F.lit(" "), number)
 
 
-def record(page_id, url: str | None, body: bytes | None, size: int, digest: str, refers_to) -> bytes:
-    """One WARC record; without a body it is a revisit of ``refers_to``."""
+def record(page_id: int | None, url: str | None, body: bytes | None, size: int, digest: str, refers_to: int | None, place: str) -> bytes:
+    """One WARC record; without a body it is a revisit of ``refers_to``.  ``place`` makes the record's id unique."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     target = "" if url is None else "WARC-Target-URI: " + "".join(f"%{ord(c):02X}" if c <= " " else c for c in url) + "\r\n"
     revisit = "" if body is not None else f"WARC-Refers-To: <{_ID}{refers_to}>\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"
     block = http + (body or b"")
-    head = f"WARC/1.1\r\nWARC-Type: {'revisit' if body is None else 'response'}\r\nWARC-Record-ID: <{_ID}{'' if page_id is None else page_id}>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n{target}{revisit}WARC-Payload-Digest: sha256:{digest}\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: {'revisit' if body is None else 'response'}\r\nWARC-Record-ID: <{_ID}{'' if page_id is None else page_id}:{place}>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n{target}{revisit}WARC-Payload-Digest: sha256:{digest}\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n"
     return head.encode() + block + b"\r\n\r\n"
 
 
@@ -81,7 +92,7 @@ def parsed(data: bytes) -> dict:
     named = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[: int(named["Content-Length"])]
     http, _, body = block.partition(b"\r\n\r\n")
-    number = lambda x: int(x) if (x := x[1:-1].removeprefix(_ID)) else None
+    number = lambda x: int(x) if (x := x[1:-1].removeprefix(_ID).partition(":")[0]) else None
     out = {"page_id": number(named["WARC-Record-ID"]), "url": named.get("WARC-Target-URI"), "record_type": named["WARC-Type"], "refers_to": None, "payload": body}
     if out["record_type"] == "revisit":
         size = next(line for line in http.split(b"\r\n") if line.startswith(b"Content-Length: "))
@@ -94,10 +105,6 @@ def _pack(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def _none(x):
-    return None if x is None or x != x else int(x)
-
-
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write the archives; returns the captures: ``key, file, start, size``."""
     tune(pages.sparkSession)
@@ -111,37 +118,37 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         shared = F.broadcast(shared)
     rows = rows.join(shared, "digest", "left").select("page_id", "url", capture_key(F.col("url"), F.col("page_id")).alias("key"), F.when(~revisit, F.col("body")).alias("body"), "size", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = store(folder)
         out = name = None
         try:
-            for frame in batches:
+            for batch in batches:
                 done = []
-                for page, url, key, text, size, digest, first in frame.itertuples(index=False, name=None):
+                for page, url, key, text, size, digest, first in rows_of(batch):
                     if out is None:
                         files.create_dir(path, recursive=True)
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = files.open_output_stream(f"{path}/{name}", compression=None)
-                    packed = _pack(record(_none(page), url, text, size, digest, _none(first)))
+                    packed = _pack(record(page, url, text, size, digest, first, f"{name}:{at}"))
                     out.write(packed)
                     done.append((key, name, at, len(packed)))
                     at += len(packed)
                     if at >= ARCHIVE_BYTES:
                         out.close()
                         out = None
-                yield pd.DataFrame(done, columns=["key", "file", "start", "size"])
+                yield batch_of(done, CAPTURE)
         finally:
             if out is not None:
                 out.close()
 
-    return written(rows.mapInPandas(run, "key string, file string, start long, size long"), "captures")
+    return written(rows.mapInArrow(run, "key string, file string, start long, size long"), "captures")
 
 
 def build_index(captures: DataFrame, folder: str) -> list[tuple[bytes, str, int, int]]:
     """Sort captures into compressed blocks with a directory; returns the parts: (first key, file, start and size of the directory)."""
     parts = min(MOST_PARTS, max(1, -(-captures.count() // PART_ENTRIES)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = store(folder)
         lines: list[bytes] = []
         directory: list[bytes] = []
@@ -156,8 +163,8 @@ def build_index(captures: DataFrame, folder: str) -> list[tuple[bytes, str, int,
             at += len(block)
             lines.clear()
 
-        for frame in batches:
-            for key, file, start, size in frame.itertuples(index=False, name=None):
+        for batch in batches:
+            for key, file, start, size in rows_of(batch):
                 if out is None:
                     files.create_dir(path, recursive=True)
                     name = f"{uuid.uuid4().hex}.idx"
@@ -171,9 +178,9 @@ def build_index(captures: DataFrame, folder: str) -> list[tuple[bytes, str, int,
             packed = zlib.compress(b"\n".join(directory), 6)
             out.write(packed + struct.pack(_TAIL, at, len(packed)))
             out.close()
-            yield pd.DataFrame([(first.encode(), name, at, len(packed))], columns=["first", "file", "start", "size"])
+            yield batch_of([(first.encode(), name, at, len(packed))], PART)
 
-    made = captures.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInPandas(run, "first binary, file string, start long, size long")
+    made = captures.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(run, "first binary, file string, start long, size long")
     return sorted((bytes(r["first"]), r["file"], r["start"], r["size"]) for r in made.collect())
 
 
@@ -224,7 +231,8 @@ class Reader:
             i += 1
 
 
-FIELDS = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
+RECORD = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "payload": pa.binary()}
+FIELDS = list(RECORD)
 
 
 def lookup(keys: DataFrame, folder: str, parts: list[tuple[bytes, str, int, int]], with_payload: bool = True) -> DataFrame:
@@ -233,21 +241,18 @@ def lookup(keys: DataFrame, folder: str, parts: list[tuple[bytes, str, int, int]
     shape = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
     shared = keys.sparkSession.sparkContext.broadcast(parts)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(folder, shared.value)
-        for frame in batches:
+        for batch in batches:
             rows = []
-            for key in frame["key"]:
+            for key in batch.column(0).to_pylist():
                 for file, start, size in reader.find(key.encode()):
                     got = parsed(zlib.decompress(reader.read(file, start, size), 31))
                     rows.append([got[k] for k in fields])
-            out = pd.DataFrame(rows, columns=fields)
-            for k in ("page_id", "refers_to", "payload_bytes"):
-                out[k] = out[k].astype("Int64")
-            yield out
+            yield batch_of(rows, [(k, RECORD[k]) for k in fields])
 
     n = max(1, len(parts))
-    return keys.select("key").distinct().repartitionByRange(n, "key").sortWithinPartitions("key").mapInPandas(run, shape)
+    return keys.select("key").distinct().repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(run, shape)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", with_payload: bool = False) -> DataFrame:

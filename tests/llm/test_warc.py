@@ -64,3 +64,20 @@ def test_repeated_keys_over_block_ends(spark, monkeypatch, tmp_path):
 def test_empty(spark, pages):
     assert warc.round_trip(pages.limit(0)).count() == 0
     assert work_path(spark, "x") != work_path(spark, "x")
+
+
+@pytest.mark.parametrize("nulls", [False, True])
+def test_ids_beyond_doubles(spark, tmp_path, nulls):
+    """Integers above 2**53 come back as they were, beside null ids too."""
+    big = [2**60 + 1, 2**60 + 3, 2**60 + 5, -(2**63), 2**63 - 1]
+    rows = [(i, f"http://a.org/{k}", LONG if k < 3 else f"own {k}") for k, i in enumerate(big)] + [(None, "http://n.org/", LONG)] * nulls
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r.page_id, r.refers_to) for r in warc.round_trip(pages).collect()}
+    assert got == {(big[0], None), (big[1], big[0]), (big[2], big[0]), (big[3], None), (big[4], None)} | ({(None, big[0])} if nulls else set())
+
+
+def test_record_ids_are_unique(spark, pages, tmp_path):
+    warc.write_archives(pages, f"file://{tmp_path}")
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in tmp_path.glob("*.warc.gz"))
+    ids = [x for x in data.split(b"\r\n") if x.startswith(b"WARC-Record-ID")]
+    assert len(ids) == len(set(ids)) == len(ROWS)
