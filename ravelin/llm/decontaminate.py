@@ -12,12 +12,15 @@ the bound are the candidate regions, and banded alignment decides them.
 Texts are compared code point by code point after lower-casing letters below
 U+0250 and turning each white-space character into a blank; offsets in results
 are code points of the original text.  The benchmark is the query set: it is
-read in blocks of ``BLOCK_CHARS`` and each block passes over all documents, so
-neither its size nor a document's is bounded; documents are scanned in runs of
-``RUN_CHARS`` that overlap by the longest stretch an item can match.
-
-Defined results: null and empty texts match nothing; an item shorter than q (or
-null) matches nothing; k is lowered until the bound is at least one q-gram;
+read in blocks of ``BLOCK_CHARS``, one at a time, and each block passes over all
+documents, so neither its size nor a document's is bounded; documents are scanned
+in runs of about ``RUN_CHARS`` that overlap by the longest stretch an item can
+match.  The tally holds only bands that are hit, the alignment only the band's
+diagonals.
+
+Defined results: null and empty texts match nothing, null, empty and blank items
+neither; an item shorter than q is found where it stands exactly and not within a
+word; k is lowered until the bound is at least one q-gram;
 repeated rows give repeated hits; empty tables give an empty result.
 """
 
@@ -32,10 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import tune
+from ._common import tune, work_path, written
 
 Q, ERRORS = 8, 0.08
 BLOCK_CHARS, RUN_CHARS = 400_000, 120_000
+#: So many shared q-grams are tallied at once.
+POSTINGS = 1_000_000
 _BASE = 0x100000001B3
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 21
@@ -74,34 +79,55 @@ def edits_allowed(m: int, errors: float = ERRORS) -> int:
     return max(0, min(int(m * errors), (m - Q) // Q))
 
 
-def align(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
+_FAR = np.iinfo(np.int64).max // 4
+
+
+def align(item: np.ndarray, text: np.ndarray, most: int, low: int | None = None, high: int | None = None) -> tuple[int, int, int] | None:
     """(edits, start, end) of the stretch of ``text`` closest to the whole item, if within ``most`` edits.
 
-    Columns are the item's prefixes; a stretch may begin and end anywhere in the
-    text, which the caller has cut to the band of diagonals.  The leftmost of the
-    best ends and its latest start are taken.
+    Only the diagonals (place in the text less place in the item) from ``low`` to
+    ``high`` are filled, all by default; row by row, one cell for each diagonal.
+    The leftmost of the best ends and its latest start are taken.
     """
-    n = len(text)
-    whole, same = text.tobytes(), -1
-    while (same := whole.find(item.tobytes(), same + 1)) >= 0:
-        if same % item.itemsize == 0:  # an exact match needs no table
-            return 0, same // item.itemsize, same // item.itemsize + len(item)
-    at = np.arange(n + 1)
-    cost, begin = np.zeros(n + 1, np.int64), at.copy()
-    for x in item:
-        gap = cost + 1
-        diagonal = np.full(n + 1, np.iinfo(np.int64).max // 2)
-        diagonal[1:] = cost[:-1] + (text != x)
-        new = np.minimum(gap, diagonal)
-        start = np.where(diagonal <= gap, np.concatenate([[0], begin[:-1]]), begin)
-        # a gap in the item: the cheapest cell to the left plus the distance
-        left = np.minimum.accumulate(new - at)
-        source = np.maximum.accumulate(np.where(new - at == left, at, 0))
-        cost, begin = left + at, start[source]
+    m, n = len(item), len(text)
+    low, high = -most if low is None else low, n if high is None else high
+    first = max(0, low)
+    whole, same, wanted = text[first : high + m].tobytes(), -1, item.astype(text.dtype).tobytes()
+    while (same := whole.find(wanted, same + 1)) >= 0:
+        if same % text.itemsize == 0:  # an exact match needs no table
+            at = first + same // text.itemsize
+            return 0, at, at + m
+    diagonal = np.arange(low, high + 1)
+    at = np.arange(len(diagonal))
+    before = max(0, -low)
+    beside = np.concatenate([np.full(before, -1), text.astype(np.int64), np.full(max(0, m + high - n), -1)])
+    cost = np.where((diagonal >= 0) & (diagonal <= n), 0, _FAR)
+    begin = diagonal.copy()
+    for i, x in enumerate(item.tolist()):
+        taken = cost + (beside[i + low + before : i + high + 1 + before] != x)
+        left_out = np.append(cost[1:], _FAR) + 1  # the item's letter
+        new = np.minimum(taken, left_out)
+        start = np.where(taken <= left_out, begin, np.append(begin[1:], 0))
+        # letters of the text between two of the item: the cheapest cell to the left plus the distance
+        least = np.minimum.accumulate(new - at)
+        source = np.maximum.accumulate(np.where(new - at == least, at, 0))
+        cost, begin = least + at, start[source]
         if cost.min() > most:
             return None
+    cost[diagonal + m > n] = _FAR
     end = int(cost.argmin())
-    return int(cost[end]), int(begin[end]), end
+    return None if cost[end] > most else (int(cost[end]), int(begin[end]), int(diagonal[end]) + m)
+
+
+def _whole_words(short: np.ndarray, text: np.ndarray) -> int:
+    """First place of a short item in the text, not within a word there; -1 if there is none."""
+    found, t = -1, text.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    one = short.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    while (found := t.find(one, found + 1)) >= 0:
+        end = found + len(one)
+        if not (found and t[found - 1].isalnum() and one[0].isalnum()) and not (end < len(t) and t[end].isalnum() and one[-1].isalnum()):
+            return found
+    return -1
 
 
 class Block:
@@ -109,9 +135,12 @@ class Block:
 
     def __init__(self, items: list[tuple[int, str]], errors: float = ERRORS):
         self.ids, self.texts, hashes, owner, offset = [], [], [], [], []
+        self.short: dict[bytes, tuple[np.ndarray, list]] = {}
         for i, text in items:
             c = plain(text)
             if len(c) < Q:
+                if len(c) and not np.isin(c, 32).all():
+                    self.short.setdefault(c.tobytes(), (c, []))[1].append(i)
                 continue
             h = grams(c)
             hashes.append(h)
@@ -123,6 +152,7 @@ class Block:
         self.most = np.array([edits_allowed(int(m), errors) for m in self.size], np.int64)
         self.bound = self.size - Q + 1 - self.most * Q
         self.longest = int((self.size + self.most).max()) if self.ids else 0
+        self.length = dict(zip(self.ids, self.size.tolist(), strict=True)) | {i: len(c) for c, ids in self.short.values() for i in ids}
         if not self.ids:
             return
         h = np.concatenate(hashes)
@@ -145,37 +175,49 @@ class Block:
         at, slot = at[hit], slot[hit]
         if not len(at):
             return []
-        # the postings of every hit, one after another
-        count = self.first[slot + 1] - self.first[slot]
-        skip = np.repeat(np.cumsum(count) - count, count)
-        post = np.arange(count.sum()) - skip + np.repeat(self.first[slot], count)
-        item = self.owner[post]
+        # the postings of the hits, some at a time, tallied by cells of width diagonals of an item; only cells that are hit are kept
         width = self.most + 1
         cells = (len(c) + self.size) // width + 2
         base = np.cumsum(cells) - cells
-        diagonal = np.repeat(at, count) - self.offset[post] + self.size[item]
-        tally = np.bincount(base[item] + diagonal // width[item], minlength=int(cells.sum()))
-        both = tally + np.append(tally[1:], 0)  # two neighbouring cells make a band
-        busy = np.flatnonzero(both >= self.bound.min())
-        j = np.searchsorted(base, busy, side="right") - 1
-        ok = (both[busy] >= self.bound[j]) & (busy < base[j] + cells[j] - 1)
-        return [(int(x), int(d), int(d + 2 * width[x] - 1)) for x, d in zip(j[ok], ((busy - base[j]) * width[j] - self.size[j])[ok], strict=True)]
+        count = self.first[slot + 1] - self.first[slot]
+        total = np.cumsum(count)
+        seen, times, done = [], [], 0
+        while done < len(at):
+            upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + POSTINGS, side="right")))
+            some, n = slice(done, upto), count[done:upto]
+            post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[slot[some]], n)
+            item = self.owner[post]
+            diagonal = np.repeat(at[some], n) - self.offset[post] + self.size[item]
+            cell, often = np.unique(base[item] + diagonal // width[item], return_counts=True)
+            seen.append(cell)
+            times.append(often)
+            done = upto
+        cell, place = np.unique(np.concatenate(seen), return_inverse=True)
+        tally = np.bincount(place, np.concatenate(times)).astype(np.int64)
+        # two neighbouring cells make a band; it may begin one cell before the first that is hit
+        start = np.unique(np.concatenate([cell, cell - 1]))
+        own = lambda x: np.where(cell[y := np.minimum(np.searchsorted(cell, x), len(cell) - 1)] == x, tally[y], 0)
+        both = own(start) + own(start + 1)
+        start, both = start[both >= self.bound.min()], both[both >= self.bound.min()]
+        j = np.searchsorted(base, start, side="right") - 1
+        ok = (start >= 0) & (both >= self.bound[j]) & (start < base[j] + cells[j] - 1)
+        j, start = j[ok], start[ok]
+        return [(int(x), int(d), int(d + 2 * width[x] - 1)) for x, d in zip(j, (start - base[j]) * width[j] - self.size[j], strict=True)]
 
     def hits(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item id, start, end, edits): the first best stretch of each item in one document."""
         c = plain(text)
         found: dict[int, tuple[int, int, int]] = {}
-        step = max(1, RUN_CHARS - self.longest)
-        for run in range(0, max(1, len(c) - self.longest + 1), step):
+        step = max(RUN_CHARS - self.longest, RUN_CHARS // 2)
+        for run in range(0, max(1, len(c) - self.longest + 1) if self.ids else 0, step):
             part = c[run : run + step + self.longest]
             for j, low, high in self.regions(part):
-                k, m = int(self.most[j]), int(self.size[j])
-                a, b = max(0, low), min(len(part), high + m + k + 1)
-                got = align(self.texts[j], part[a:b], k)
+                got = align(self.texts[j], part, int(self.most[j]), low, high)
                 if got:
-                    new = (got[0], run + a + got[1], run + a + got[2])
+                    new = (got[0], run + got[1], run + got[2])
                     found[j] = min(found.get(j, new), new)
-        return [(self.ids[j], s, e, d) for j, (d, s, e) in sorted(found.items())]
+        short = [(i, at, at + len(one), 0) for one, ids in self.short.values() if (at := _whole_words(one, c)) >= 0 for i in ids]
+        return [(self.ids[j], s, e, d) for j, (d, s, e) in sorted(found.items())] + short
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, errors: float) -> Iterator[Block]:
@@ -205,23 +247,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     arrow = to_arrow_schema(shape)
     source = docs.where(F.length(text_col) > 0).select(F.col(id_col), F.col(text_col))
-    out = None
+    path = work_path(spark, "hits")
+    spark.createDataFrame([], shape).write.parquet(path)
     for block in blocks(benchmark, item_col, item_text, errors):
-        if not block.ids:
-            continue
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             b = shared.value
-            size = dict(zip(b.ids, b.size.tolist(), strict=True))
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                rows = [(i, x, s, e, d, 1 - d / size[x]) for i, t in zip(ids, batch.column(1).to_pylist(), strict=True) for x, s, e, d in b.hits(t)]
+                rows = [(i, x, s, e, d, 1 - d / b.length[x]) for i, t in zip(ids, batch.column(1).to_pylist(), strict=True) for x, s, e, d in b.hits(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
 
-        part = source.mapInArrow(run, shape)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], shape) if out is None else out
+        source.mapInArrow(run, shape).write.mode("append").parquet(path)
+        shared.destroy()  # one block at a time is held
+    return spark.read.schema(shape).parquet(path)
 
 
 def _holds(shared):
@@ -232,14 +272,24 @@ def _holds(shared):
     return run
 
 
-def leaking(text: Column, benchmark: DataFrame, spark, item_col: str = "item_id", item_text: str = "text", errors: float = ERRORS) -> Column:
-    """Whether a text holds a stretch of any item: a filter that leaves all columns as they are."""
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", errors: float = ERRORS) -> DataFrame:
+    """``docs`` without the rows whose text holds a stretch of any item; all columns as they are."""
+    spark = docs.sparkSession
     tune(spark)
-    flag = F.lit(False)
+    shared = None
     for block in blocks(benchmark, item_col, item_text, errors):
-        if not block.ids:
-            continue
+        if shared is not None:  # another block follows: what the last one left is written first
+            docs = written(docs, "clean")
+            shared.destroy()
         shared = spark.sparkContext.broadcast(block)
+        docs = docs.where(~_holds(shared)(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs
 
-        flag = flag | _holds(shared)(F.coalesce(text, F.lit("")))
+
+def leaking(text: Column, benchmark: DataFrame, spark, item_col: str = "item_id", item_text: str = "text", errors: float = ERRORS) -> Column:
+    """Whether a text holds a stretch of any item, for benchmarks of a few blocks."""
+    tune(spark)
+    flag = F.lit(False)
+    for block in blocks(benchmark, item_col, item_text, errors):
+        flag = flag | _holds(spark.sparkContext.broadcast(block))(F.coalesce(text, F.lit("")))
     return flag

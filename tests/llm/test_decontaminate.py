@@ -80,3 +80,56 @@ def test_tables(spark, prose, odd_rows, monkeypatch):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3
     assert d.contamination(docs, bench.limit(0)).count() == 0 and docs.where(~d.leaking(F.col("text"), bench.limit(0), spark)).count() == len(rows)
     assert d.contamination(docs.limit(0), bench).count() == 0
+
+
+def test_many_short_items_take_memory_by_hits(prose):
+    """Twenty thousand items against a long text: only cells that are hit are held."""
+    import tracemalloc
+
+    r = random.Random(3)
+    items = [(i, "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(24))) for i in range(20_000)]
+    block = d.Block(items)
+    text = " ".join(["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(50_000)), items[77][1], edited(r, items[78][1], 1)])
+    tracemalloc.start()
+    got = block.hits(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 77 in {x[0] for x in got} and brute(items[78][1], text[-40:]) <= 1
+    assert (78 in {x[0] for x in got}) and peak < 20e6
+
+
+def test_popular_grams_in_parts(prose, monkeypatch):
+    items = [(i, "-" * 40 + prose(i, 8)) for i in range(60)]
+    text = "-" * 300 + prose(7, 8) + " " + prose(99, 50)
+    whole = d.Block(items).hits(text)
+    monkeypatch.setattr(d, "POSTINGS", 500)
+    assert d.Block(items).hits(text) == whole and 7 in {x[0] for x in whole}
+
+
+def test_item_longer_than_a_run(prose, monkeypatch):
+    r = random.Random(5)
+    item = prose(4, 400)
+    monkeypatch.setattr(d, "RUN_CHARS", 500)
+    text = prose(5, 300) + " " + edited(r, item, 20) + " " + prose(6, 300)
+    (got,) = d.Block([(3, item)]).hits(text)
+    assert got[0] == 3 and got[3] <= 20 and brute(item, text[got[1] : got[2]]) == got[3]
+
+
+def test_items_below_q(prose):
+    block = d.Block([(1, "zebra"), (2, "zeb"), (3, "  "), (4, "Qu x"), (5, "zebra")])
+    assert block.hits("a ZEBRA, here") == [(1, 2, 7, 0), (5, 2, 7, 0)]
+    assert block.hits("zebras and azebra") == [] and block.hits("") == []
+
+
+def test_time_grows_with_the_band(prose):
+    """Rows of the table are as wide as the band, so a text beyond it costs nothing."""
+    import time
+
+    r = random.Random(6)
+    item = d.plain(prose(1, 600))
+    text = d.plain(prose(2, 20_000) + edited(r, prose(1, 600), 30) + prose(3, 20_000))
+    at = next(low for j, low, high in d.Block([(1, prose(1, 600))]).regions(text))
+    k = d.edits_allowed(len(item))
+    began = time.perf_counter()
+    got = d.align(item, text, k, at, at + 2 * (k + 1) - 1)
+    assert got and got[0] <= 30 and time.perf_counter() - began < 1
