@@ -9,11 +9,15 @@ the end token standing before the first word.
 
 * Counts are exact for every word of the training texts, however rare; they are
   a table that grows with the corpus and never leaves the cluster.
-* Classes are found by exchange clustering: the ``TOP_WORDS`` most frequent
-  words are units of their own, every other word (unknown ones too) belongs to
-  the unit of its last four bytes, one of ``ENDINGS``.  All training bigrams are
-  counted between units, a matrix of bounded size, and units are moved between
-  classes one by one as long as the class bigram likelihood grows.
+* Classes are found by exchange clustering in two steps.  First the ``TOP_WORDS``
+  most frequent words are units of their own and every other word belongs to the
+  unit of its last four bytes, one of ``ENDINGS``; training bigrams are counted
+  between units, a matrix of bounded size, and units are moved between classes
+  one by one as long as the class bigram likelihood grows.  Then every further
+  word of the core that occurs ``LEAST_COUNT`` times is moved, on its own counts
+  of the classes beside it, to the class where the likelihood is largest; these
+  counts are a table on the cluster.  Only rarer words, those beyond the core and
+  unknown ones keep the class of their ending.
 * Emissions are discounted absolutely within each class; what is taken off is
   the probability of an unknown word of that class.  Transitions are drawn
   towards the class frequencies.  So the probabilities of all known words and
@@ -21,6 +25,8 @@ the end token standing before the first word.
 * Scoring: at most ``CORE`` words, all of a count above a cut, are looked up in
   a table that every task holds; the rest of each text's words go to a join with
   the counts.  Both are exact.
+* Training texts are turned into numbers once, in a written table; unit bigrams,
+  neighbouring classes and class bigrams are counted from those.
 
 Defined results: a null text counts as empty and has the end token only; with no
 training texts every word is unknown, and all classes are equally likely;
@@ -44,6 +50,10 @@ from ._common import payload, remainder, tune, written
 
 CORE, TOP_WORDS, ENDINGS, CLASSES = 262_144, 1_024, 512, 64
 SWEEPS = 12
+#: Words whose class one task finds.
+MOVED_WORDS = 4_000
+#: Core words take a class by their own neighbours from so many occurrences on.
+LEAST_COUNT = 3
 #: Weight of the class frequencies in a transition, in tokens.
 PULL = 5.0
 #: A task hands on its word counts when it holds so many different words.
@@ -109,6 +119,43 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def moved(table: np.ndarray, was: np.ndarray, right: np.ndarray, left: np.ndarray, tried: int = 4) -> np.ndarray:
+    """The best class of each of several words, each on its own moved within the class bigrams ``table``.
+
+    ``right`` and ``left`` hold, word by word, how often each class follows and
+    precedes it; ``was`` is the class that holds these counts in the table.  The
+    most likely ``tried`` classes, by the word's counts alone, are compared by the
+    exact gain.  A word stays where no class is better, and never joins class 0.
+    """
+    k = len(table)
+    log = np.log(table + 0.5)
+    rough = right @ (log - np.log(table.sum(1, keepdims=True) + 0.5 * k)).T + left @ (log - np.log(table.sum(0) + 0.5 * k))
+    rough[:, 0] = -np.inf
+    was, at = np.asarray(was), np.arange(len(right))
+    c = np.concatenate([was[:, None], np.argsort(-rough, axis=1, kind="stable")[:, :tried]], axis=1)
+    # the table without the word's counts, at the rows and columns of the classes tried
+    stays = c == was[:, None]
+    a = table[c] - stays[:, :, None] * right[:, None, :]
+    b = table.T[c] - stays[:, :, None] * left[:, None, :]
+    r, l = np.take_along_axis(right, c, 1), np.take_along_axis(left, c, 1)
+    a[at, :, was] -= l
+    b[at, :, was] -= r
+    np.maximum(a, 0, out=a)
+    np.maximum(b, 0, out=b)
+    gain = (_f(a + right[:, None, :]) - _f(a)).sum(2) + (_f(b + left[:, None, :]) - _f(b)).sum(2)
+    on = np.maximum(table[c, c] - stays * (r + l), 0)
+    gain += _f(on + r + l) + _f(on) - _f(on + r) - _f(on + l)
+    for margin, own in ((table.sum(1)[c], right.sum(1)[:, None]), (table.sum(0)[c], left.sum(1)[:, None])):
+        rest = np.maximum(margin - stays * own, 0)
+        gain -= _f(rest + own) - _f(rest)
+    top = gain.argmax(1)
+    return np.where(gain[at, top] > gain[:, 0] + 1e-9, c[at, top], was)
+
+
 @dataclass
 class Model:
     counts: DataFrame  # word, n: every training word
@@ -116,7 +163,7 @@ class Model:
     types: int
     core: list[bytes]  # the words looked up in place
     core_n: np.ndarray
-    core_unit: np.ndarray
+    core_class: np.ndarray
     of: np.ndarray  # class of each unit
     step: np.ndarray  # log10 transition, before x after
     total: np.ndarray  # tokens, discount and log10 of the unknown word, by class
@@ -125,21 +172,20 @@ class Model:
 
 
 class Lookup:
-    """What a task needs to turn words into units."""
+    """What a task needs to turn words into numbers: their place in the core, or its size plus their ending's place."""
 
-    def __init__(self, core: list[bytes], unit: np.ndarray):
+    def __init__(self, core: list[bytes]):
         self.at = {w: i for i, w in enumerate(core)}
-        self.unit = np.append(unit, 0)
+        self.size = len(core)
 
-    def units(self, toks: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """(core index or -1, unit, positions of the words outside the core)."""
+    def numbers(self, toks: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """(numbers, positions of the words outside the core)."""
         get = self.at.get
         ids = np.fromiter((get(w, -1) for w in toks), np.int64, len(toks))
-        unit = self.unit[ids]
         rest = np.flatnonzero(ids < 0).tolist()
         if rest:
-            unit[rest] = [ending_unit(toks[i]) for i in rest]
-        return ids, unit, rest
+            ids[rest] = [self.size + ending_unit(toks[i]) - 1 - TOP_WORDS for i in rest]
+        return ids, rest
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,38 +202,95 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names)
 
 
-def _pairs(shared):
+def _numbered(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Lookup(*shared.value)
-        held: list[np.ndarray] = []
-        size, total = 0, np.zeros(UNITS * UNITS, np.int64)
+        look = Lookup(shared.value)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                _, unit, _ = look.units(words(text))
-                chain = np.concatenate([[0], unit, [0]])
-                held.append(chain[:-1] * UNITS + chain[1:])
-                size += len(chain)
-                if size > 2_000_000:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held, size = [], 0
+            found = [look.numbers(words(text))[0] for text in batch.column(0).to_pylist()]
+            cut = np.cumsum([0, *map(len, found)])
+            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat.astype(np.int32)))], ["ids"])
+
+    return run
+
+
+def chained(batch: pa.RecordBatch, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, kinds) of the texts of a batch one after another, an end (-1, kind 0) before, between and after them."""
+    lists = batch.column(0)
+    cut = lists.offsets.to_numpy()
+    ids = lists.values.to_numpy()[cut[0] : cut[-1]].astype(np.int64)
+    ids = np.append(np.insert(ids, cut[:-1] - cut[0], -1), -1)
+    return ids, np.append(kind, 0)[ids]
+
+
+def _cells(count):
+    """Tallies ``count(batch)``, arrays of cells, and hands them on summed by cell."""
+
+    def tally(held: list[np.ndarray]) -> pa.RecordBatch:
+        cell, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(count(batch))
+            size += len(held[-1])
+            if size > 4_000_000:
+                yield tally(held)
+                held, size = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
-        cell = np.flatnonzero(total)
-        for at in range(0, len(cell), 100_000):
-            part = cell[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["cell", "n"])
+            yield tally(held)
 
     return run
 
 
-def _units(shared):
+def _bigrams(shared, kinds: int):
+    """Counts of pairs of kinds; ``shared``: the kind of each number."""
+
+    def count(batch: pa.RecordBatch) -> np.ndarray:
+        _, kind = chained(batch, shared.value)
+        return kind[:-1] * kinds + kind[1:]
+
+    return _cells(count)
+
+
+def _beside(shared, low: int, high: int):
+    """Counts of (number, side, class) for numbers from low up to high: side 0 is what follows; ``shared``: the class of each number."""
+
+    def count(batch: pa.RecordBatch) -> np.ndarray:
+        ids, kind = chained(batch, shared.value)
+        at = np.flatnonzero((ids >= low) & (ids < high))
+        return np.concatenate([ids[at] * 2 * CLASSES + kind[at + 1], (ids[at] * 2 + 1) * CLASSES + kind[at - 1]])
+
+    return _cells(count)
+
+
+def _moves(shared):
+    """(id, class) of words from their cells (id, list of cell and count)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Lookup(*shared.value)
+        table, kind = shared.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            lists = batch.column(1)
+            owner = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+            cell, n = (x.to_numpy() for x in lists.flatten().flatten())
+            beside = np.zeros((len(ids), 2 * CLASSES))
+            beside[owner, cell % (2 * CLASSES)] = n
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(moved(table, kind[ids], beside[:, :CLASSES], beside[:, CLASSES:]).astype(np.int32))], ["id", "class"])
+
+    return run
+
+
+def _classes(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        core, kind = shared.value
+        look = Lookup(core)
         for batch in batches:
             toks = batch.column(0).to_pylist()
-            unit = look.units(toks)[1]
-            unit[[i for i, w in enumerate(toks) if w == END]] = 0
-            yield pa.RecordBatch.from_arrays([pa.array(unit.astype(np.int32)), batch.column(1)], ["unit", "n"])
+            c = kind[look.numbers(toks)[0]]
+            c[[i for i, w in enumerate(toks) if w == END]] = 0
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), batch.column(1)], ["class", "n"])
 
     return run
 
@@ -207,34 +310,46 @@ def fit(docs: DataFrame, keep: Column, text_col: str = "text") -> Model:
         if so_far > CORE:
             break
         cut = n
-    core = [] if cut is None else [(bytes(r.word), r.n) for r in counts.where(F.col("n") >= cut).collect() if bytes(r.word) != END]
-    core.sort(key=lambda x: (-x[1], x[0]))
-    names = [w for w, _ in core]
-    unit = np.array([i + 1 if i < TOP_WORDS else ending_unit(w) for i, w in enumerate(names)], np.int64)
-    shared = spark.sparkContext.broadcast((names, unit))
-    pairs = np.zeros(UNITS * UNITS)
-    cells = texts.mapInArrow(_pairs(shared), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    pairs[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    pairs = pairs.reshape(UNITS, UNITS)
+    core: list[tuple[bytes, int]] = []
+    if cut is not None:
+        got = counts.where(F.col("n") >= cut).toArrow()
+        core = sorted(((w, n) for w, n in zip(got.column("word").to_pylist(), got.column("n").to_pylist(), strict=True) if w != END), key=lambda x: (-x[1], x[0]))
+    names, core_n = [w for w, _ in core], np.array([n for _, n in core], np.int64)
+    numbered = written(texts.mapInArrow(_numbered(spark.sparkContext.broadcast(names)), "ids array<int>"), "numbers")
+
+    def matrix(kind: np.ndarray, kinds: int) -> np.ndarray:
+        cells = numbered.mapInArrow(_bigrams(spark.sparkContext.broadcast(kind), kinds), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(kinds * kinds)
+        out[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+        return out.reshape(kinds, kinds)
+
+    # numbers are the core's words, then the endings
+    unit = np.concatenate([[i + 1 if i < TOP_WORDS else ending_unit(w) for i, w in enumerate(names)], 1 + TOP_WORDS + np.arange(ENDINGS)]).astype(np.int64)
+    pairs = matrix(unit, UNITS)
     of = exchange(pairs)
-    table = np.zeros((CLASSES, CLASSES))
-    np.add.at(table, (of[:, None], of[None, :]), pairs)
+    kind = of[unit]
+    low, high = min(TOP_WORDS, len(names)), int((core_n >= LEAST_COUNT).sum())
+    if high > low:
+        table = np.zeros((CLASSES, CLASSES))
+        np.add.at(table, (of[:, None], of[None, :]), pairs)
+        beside = numbered.mapInArrow(_beside(spark.sparkContext.broadcast(kind), low, high), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        beside = beside.withColumn("id", F.expr(f"cell div {2 * CLASSES}")).repartition(1 + (high - low) // MOVED_WORDS, "id").groupBy("id").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))  # up to 2 * CLASSES for each word
+        better = beside.mapInArrow(_moves(spark.sparkContext.broadcast((table, kind))), "id long, class int").toArrow()
+        kind = kind.copy()
+        kind[better.column("id").to_numpy()] = better.column("class").to_numpy()
+    table = matrix(kind, CLASSES)
     share = (table.sum(0) + 0.5) / (table.sum() + 0.5 * CLASSES)
     step = np.log10((table + PULL * share) / (table.sum(1, keepdims=True) + PULL))
-    stats = counts.mapInArrow(_units(shared), "unit int, n long").groupBy("unit").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()
+    stats = counts.mapInArrow(_classes(spark.sparkContext.broadcast((names, kind))), "class int, n long").groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()
     total, v, n1, n2 = np.zeros((4, CLASSES))
     for r in stats:
-        c = of[r.unit]
-        total[c] += r.n
-        v[c] += r.v
-        n1[c] += r.n1
-        n2[c] += r.n2
+        total[r["class"]], v[r["class"]], n1[r["class"]], n2[r["class"]] = r.n, r.v, r.n1, r.n2
     open_class = np.zeros(CLASSES, bool)
     open_class[of[1 + TOP_WORDS :]] = True  # unknown words can only fall here
     discount = np.where(open_class, np.clip((n1 + 0.5) / (n1 + 2 * n2 + 1), 0.05, 0.95), 0.0)
     with np.errstate(divide="ignore"):
         unknown = np.where(total > 0, np.log10(discount * v / np.maximum(total, 1)), 0.0)
-    return Model(counts, tokens, types, names, np.array([n for _, n in core], np.int64), unit, of, step, total, discount, unknown)
+    return Model(counts, tokens, types, names, core_n, kind[: len(names)], of, step, total, discount, unknown)
 
 
 def score(model: Model, docs: DataFrame, columns: dict[str, Column], text_col: str = "text") -> DataFrame:
@@ -242,22 +357,23 @@ def score(model: Model, docs: DataFrame, columns: dict[str, Column], text_col: s
     spark = docs.sparkSession
     tune(spark)
     base_of = -np.log10(model.tokens + model.types + 1)
-    core_class = model.of[model.core_unit] if len(model.core_unit) else np.zeros(0, np.int64)
-    core_base = np.append(np.log10(model.core_n + 1.0) + base_of, 0.0)
-    core_score = np.append(np.log10(np.maximum(model.core_n - model.discount[core_class], 1e-9)) - np.log10(np.maximum(model.total[core_class], 1)), 0.0)
+    core_class = model.core_class
+    none = np.zeros(ENDINGS)
+    core_base = np.append(np.log10(model.core_n + 1.0) + base_of, none)
+    core_score = np.append(np.log10(np.maximum(model.core_n - model.discount[core_class], 1e-9)) - np.log10(np.maximum(model.total[core_class], 1)), none)
     end = model.tokens and int(model.total[0])
     end_base, end_known = float(np.log10(end + 1.0) + base_of), int(end > 0)
-    shared = spark.sparkContext.broadcast((model.core, model.core_unit, core_base, core_score, model.of, model.step))
+    shared = spark.sparkContext.broadcast((model.core, np.append(core_class, model.of[1 + TOP_WORDS :]), core_base, core_score, model.step))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        core, unit_of, base, emit, of, step = shared.value
-        look = Lookup(core, unit_of)
+        core, class_of, base, emit, step = shared.value
+        look = Lookup(core)
         for batch in batches:
             rows, bag, bag_n, bag_c, cuts = [], [], [], [], [0]
             for text in batch.column(0).to_pylist():
                 toks = words(text)
-                ids, unit, rest = look.units(toks)
-                kinds = of[np.concatenate([[0], unit, [0]])]
+                ids, rest = look.numbers(toks)
+                kinds = np.concatenate([[0], class_of[ids], [0]])
                 rows.append((len(toks) + 1, len(toks) - len(rest) + end_known, float(base[ids].sum()) + end_base, float(step[kinds[:-1], kinds[1:]].sum() + emit[ids].sum())))
                 tail = Counter([toks[i] for i in rest])
                 kind = {toks[i]: int(kinds[i + 1]) for i in rest}

@@ -47,7 +47,7 @@ def test_score_against_the_formula_and_the_tail_join(spark, scored, monkeypatch)
     top = {w: i for i, w in enumerate(model.core)}
     for r in again:
         w = [x.encode() for x in tokens(r.t)]
-        kinds = [0] + [int(model.of[0 if not x else model.core_unit[top[x]] if x in top else brown.ending_unit(x)]) for x in w]
+        kinds = [0] + [int(0 if not x else model.core_class[top[x]] if x in top else model.of[brown.ending_unit(x)]) for x in w]
         p = 0.0
         for a, b, x in zip(kinds, kinds[1:], w):
             p += model.step[a, b] + (0 if not x else math.log10(counts[x] - model.discount[b]) - math.log10(model.total[b]) if x in counts else model.unknown[b])
@@ -61,7 +61,7 @@ def test_probabilities_sum_to_one(scored):
     top = {w: i for i, w in enumerate(model.core)}
     for r in model.counts.collect():
         w = bytes(r.word)
-        c = model.of[0 if not w else model.core_unit[top[w]] if w in top else brown.ending_unit(w)]
+        c = 0 if not w else model.core_class[top[w]] if w in top else model.of[brown.ending_unit(w)]
         mass[c] += (r.n - model.discount[c]) / model.total[c]
     unknown = np.where(np.isfinite(model.unknown), 10**model.unknown, 0)
     assert np.allclose((mass + unknown)[model.total > 0], 1)
@@ -95,3 +95,58 @@ def test_no_rows_and_no_training_rows(spark):
     r = brown.score(model, df, {"doc_id": F.col("doc_id")}).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and math.isfinite(r.score)
     assert brown.score(model, df.limit(0), {"doc_id": F.col("doc_id")}).count() == 0
+
+
+def likelihood(pairs, of, k):
+    """Class bigram log likelihood, but for the words' own share, recomputed from the units."""
+    t = np.zeros((k, k))
+    for a in range(len(pairs)):
+        for b in range(len(pairs)):
+            t[of[a], of[b]] += pairs[a, b]
+    f = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    return f(t) - f(t.sum(0)) - f(t.sum(1))
+
+
+def test_exchange_never_lowers_the_likelihood():
+    r = np.random.default_rng(2)
+    pairs = r.poisson(r.gamma(0.3, 8, (26, 26))).astype(float)
+    scores = [likelihood(pairs, brown.exchange(pairs, classes=5, sweeps=s), 5) for s in range(5)]
+    assert all(b >= a - 1e-6 for a, b in zip(scores, scores[1:])) and scores[-1] > scores[0]
+    of = brown.exchange(pairs, classes=5, sweeps=50)
+    for u in range(1, 26):  # no single move is better
+        for c in range(1, 5):
+            other = of.copy()
+            other[u] = c
+            assert likelihood(pairs, other, 5) <= likelihood(pairs, of, 5) + 1e-6
+
+
+def test_a_word_moves_to_its_best_class():
+    """``moved`` against the likelihood recomputed for every class."""
+    r = np.random.default_rng(4)
+    k, n = 6, 40
+    pairs = r.poisson(r.gamma(0.4, 6, (n, n))).astype(float)
+    np.fill_diagonal(pairs, 0)
+    of = np.append(0, r.integers(1, k, n - 1))
+    t = np.zeros((k, k))
+    np.add.at(t, (of[:, None], of[None, :]), pairs)
+    for u in range(1, n):
+        right, left = np.bincount(of, pairs[u], k), np.bincount(of, pairs[:, u], k)
+        got = int(brown.moved(t, of[[u]], right[None], left[None], tried=k - 1)[0])
+        best = [likelihood(pairs, np.where(np.arange(n) == u, c, of), k) for c in range(1, k)]
+        assert abs(best[got - 1] - max(best)) < 1e-6
+
+
+def test_words_beyond_the_top_take_their_own_class(spark, monkeypatch):
+    """Words that only their neighbours tell apart leave the class of their ending; known words of held-out texts are scored better."""
+    import random
+
+    r = random.Random(5)
+    kinds = [[f"{''.join(r.choice('abcdefgh') for _ in range(5))}same" for _ in range(60)] for _ in range(4)]
+    text = lambda: " ".join(r.choice(kinds[(k + s) % 4]) for s in [r.randint(0, 3)] for k in range(60))
+    df = spark.createDataFrame([(i, text()) for i in range(200)], "doc_id long, text string")
+    monkeypatch.setattr(brown, "TOP_WORDS", 60)
+    monkeypatch.setattr(brown, "UNITS", 61 + brown.ENDINGS)
+    ask = lambda: brown.score(brown.fit(df, brown.training_rows()), df, {"held": ~brown.training_rows()}).where("held").agg(F.sum("score")).first()[0]
+    moved = ask()
+    monkeypatch.setattr(brown, "LEAST_COUNT", 10**9)
+    assert moved > ask() * 0.9
