@@ -33,12 +33,12 @@ def timed(action: Callable[[], object]) -> float:
 def compare_partitioners(counts: DataFrame, partitions: int, key: str = "business_id", k: int = 10) -> dict:
     """Partition counts, sizes and seconds of the ranking by default and by a custom number of partitions."""
     out = {}
-    for name, df in (("default", counts), ("custom", counts.repartition(partitions, key))):
+    for name, df in (("default", counts), ("customized", counts.repartition(partitions, key))):
         seconds = timed(lambda df=df: df.orderBy(F.desc("n"), key).limit(k).collect())
         n = df.rdd.getNumPartitions()
         out[name] = {"n_partition": n, "n_items": [r.n_items for r in rows_per_partition(df, n).orderBy("part").collect()], "exe_time": round(seconds, 1)}
-    a, b = out["default"]["exe_time"], out["custom"]["exe_time"]
-    out["explanation"] = "no difference" if a == b else f"the {'custom' if b < a else 'default'} layout was faster"
+    a, b = out["default"]["exe_time"], out["customized"]["exe_time"]
+    out["explanation"] = "no difference" if a == b else f"the {'customized' if b < a else 'default'} layout was faster"
     return out
 
 

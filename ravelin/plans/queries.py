@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.minhash import BANDS, HASHES
 from ..operators import explore, itemsets, layout, recommend, similarity
+from ..sources import files
 from ..sources import star_schema as tables
-from ..sources.work import written
+from ..sources.work import work_path, written
 
 YEAR = tables.YEAR
 #: A set is frequent in this share of the order baskets, or of the part-type baskets.
@@ -81,9 +82,23 @@ def business_counts(spark, d):
     return explore.counts(tables.reviews(spark, d), "business_id")
 
 
-@query()
+@query(f"WITH {REVIEWS} SELECT layout, 8 AS n_partition, count(DISTINCT business_id) AS n_items FROM reviews, (VALUES ('hash'), ('range')) t(layout) GROUP BY layout")
 def partition_profile(spark, d):
-    return layout.partition_profile(explore.counts(tables.reviews(spark, d), "business_id"), 8)
+    """Where a key falls is Spark's own; each layout has all parts, empty ones too, and all items."""
+    parts = layout.partition_profile(explore.counts(tables.reviews(spark, d), "business_id"), 8)
+    return parts.groupBy("layout").agg(F.countDistinct("part").cast("int").alias("n_partition"), F.sum("n_items").alias("n_items"))
+
+
+@query(f"""WITH {REVIEWS}, u AS (SELECT user_id AS id, count(*) AS n FROM reviews GROUP BY 1 ORDER BY n DESC, id LIMIT 10), b AS (SELECT business_id AS id, count(*) AS n FROM reviews GROUP BY 1 ORDER BY n DESC, id LIMIT 10),
+  top AS (SELECT (SELECT string_agg(id || ':' || n, ',' ORDER BY n DESC, id) FROM u) AS top10_user, (SELECT string_agg(id || ':' || n, ',' ORDER BY n DESC, id) FROM b) AS top10_business)
+  SELECT count(*) AS n_review, count(*) FILTER (WHERE substr(date, 1, 4) = '{YEAR}') AS n_review_year, count(DISTINCT user_id) AS n_user, count(DISTINCT business_id) AS n_business, any_value(top10_user) AS top10_user, any_value(top10_business) AS top10_business FROM reviews, top""")
+def summary_document(spark, d):
+    """The report as its JSON document, parsed again."""
+    text = files.document(explore.report(tables.reviews(spark, d), YEAR))
+    lists = "array<array<string>>"
+    got = spark.createDataFrame([(text,)], "t string").select(F.from_json("t", f"n_review long, n_review_{YEAR} long, n_user long, n_business long, top10_user {lists}, top10_business {lists}").alias("x")).select("x.*")
+    shown = lambda c: F.array_join(F.transform(c, lambda r: F.array_join(r, ":")), ",").alias(c)
+    return got.select("n_review", F.col(f"n_review_{YEAR}").alias("n_review_year"), "n_user", "n_business", shown("top10_user"), shown("top10_business"))
 
 
 @query(f"WITH {REVIEWS}, {BUSINESSES} SELECT business_id, city, stars FROM businesses LEFT JOIN (SELECT business_id, stars FROM reviews) USING (business_id)")
@@ -105,9 +120,16 @@ def city_stars(spark, d):
     return _placed(found, F.desc("stars"), F.lower("city"), "city")
 
 
-@query(f"{CITY} SELECT city, stars FROM cities")
+@query(f"{CITY} SELECT city, stars, row_number() OVER (ORDER BY exact DESC, lower(city), city) AS place FROM cities")
 def city_stars_exact_order(spark, d):
-    return explore.city_stars(tables.businesses(spark, d), tables.reviews(spark, d), order_by_exact=True)
+    """The place is that of the row in the operator's own order."""
+    found = explore.city_stars(tables.businesses(spark, d), tables.reviews(spark, d), order_by_exact=True)
+    return _placed(found.withColumn("at", F.monotonically_increasing_id()), "at").drop("at")
+
+
+@query(f"{CITY} SELECT city, floor(exact * 10 + 0.5) / 10 AS stars FROM cities")
+def city_stars_half_up(spark, d):
+    return explore.city_stars(tables.businesses(spark, d), tables.reviews(spark, d), rounding="half_up")
 
 
 @query(f"{CITY} SELECT city, stars FROM cities ORDER BY stars DESC, lower(city), city LIMIT 10")
@@ -142,6 +164,9 @@ def _sets(k: int) -> str:
     return ", ".join(out)
 
 
+#: Shares that drop about half of the part sizes, and half of their pairs.
+SIZE_SHARE, SIZE_PAIR_SHARE = 0.0775, 0.0047
+SIZES = "baskets AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS basket, lpad(CAST(p_size AS VARCHAR), 2, '0') AS item FROM lineitem JOIN part ON l_partkey = p_partkey)"
 FREQUENT_2 = "l1 AS (SELECT a FROM s1, least WHERE n >= s), l2 AS (SELECT a, b FROM s2, least WHERE n >= s)"
 
 
@@ -206,6 +231,42 @@ def frequent_filtered(spark, d):
     return found.select("k", F.array_join("items", ",").alias("items"), "support")
 
 
+def _least(share: float) -> str:
+    return f"least AS (SELECT CAST(ceil({share} * count(DISTINCT basket)) AS BIGINT) AS s FROM baskets)"
+
+
+def _sizes(spark, d) -> DataFrame:
+    return itemsets.baskets(tables.order_sizes(spark, d), 1)
+
+
+@query(f"WITH {SIZES}, {_least(SIZE_SHARE)}, {_sets(1)} SELECT a AS items, n AS support FROM s1, least WHERE n >= s")
+def sizes_frequent_k1(spark, d):
+    return _level(_sizes(spark, d), 1, True, SIZE_SHARE)
+
+
+@query(f"WITH {SIZES}, {_least(SIZE_SHARE)}, {_sets(1)}, l1 AS (SELECT a FROM s1, least WHERE n >= s) SELECT x.a || ',' || y.a AS items FROM l1 x JOIN l1 y ON x.a < y.a")
+def sizes_candidates_k2(spark, d):
+    return _level(_sizes(spark, d), 2, False, SIZE_SHARE)
+
+
+@query(f"WITH {SIZES}, {_least(SIZE_PAIR_SHARE)}, {_sets(2)} SELECT a || ',' || b AS items, n AS support FROM s2, least WHERE n >= s")
+def sizes_frequent_k2(spark, d):
+    return _level(_sizes(spark, d), 2, True, SIZE_PAIR_SHARE)
+
+
+@query(f"WITH {SIZES}, {_least(SIZE_PAIR_SHARE)}, {_sets(2)}, {FREQUENT_2} SELECT x.a || ',' || x.b || ',' || y.b AS items FROM l2 x JOIN l2 y ON x.a = y.a AND x.b < y.b JOIN l2 z ON z.a = x.b AND z.b = y.b")
+def sizes_candidates_k3(spark, d):
+    return _level(_sizes(spark, d), 3, False, SIZE_PAIR_SHARE)
+
+
+@query(f"WITH {SIZES}, {_least(SIZE_SHARE)}, {_sets(1)}, shown AS (SELECT a, '(' || chr(39) || a || chr(39) || ')' AS t, n >= s AS f FROM s1, least) SELECT line, text FROM (SELECT 1 AS line, 'Candidates:' AS text UNION ALL SELECT 2, (SELECT string_agg(t, ',' ORDER BY a) FROM shown) UNION ALL SELECT 3, 'Frequent Itemsets:' UNION ALL SELECT 4, (SELECT string_agg(t, ',' ORDER BY a) FROM shown WHERE f))")
+def itemset_report_k1(spark, d):
+    """The lines of the report over sets of one, blank ones left out."""
+    rows = _sizes(spark, d)
+    text = files.itemset_report(*itemsets.levels(rows, _support(rows, SIZE_SHARE), 1))
+    return spark.createDataFrame(list(enumerate(filter(None, text.split("\n")), 1)), "line int, text string")
+
+
 def _all_levels_sql(frequent: bool) -> str:
     """All six levels of the part-type baskets by brute force over subsets of the six types."""
     return f"""WITH RECURSIVE {TYPES}, least AS (SELECT CAST(ceil({TYPE_SHARE} * count(DISTINCT basket)) AS BIGINT) AS s FROM baskets),
@@ -269,6 +330,90 @@ def similar_pairs(spark, d):
     return similarity.similar(tables.brand_customers(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
+#: Bands of two rows over the twelve hashes.
+PAIR_BANDS, PAIR_ROWS = 6, 2
+WORDS = "words AS (SELECT CAST(doc_id AS VARCHAR) AS business_id, list_filter(string_split_regex(text, '[ \\n]+'), lambda w: w <> '') AS w FROM documents), members AS (SELECT DISTINCT business_id, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS user_id FROM words)"
+PAIR_BUCKETS = "buckets AS (" + " UNION ALL ".join(f"SELECT {i} AS band, CAST(h{2 * i} AS VARCHAR) || ',' || CAST(h{2 * i + 1} AS VARCHAR) AS band_key, business_id FROM signatures" for i in range(PAIR_BANDS)) + ")"
+DOC_LSH = f"WITH {WORDS}, {USERS}, {SIGNATURES}, {PAIR_BUCKETS}, {CANDIDATES}"
+
+
+@query(f"{DOC_LSH} SELECT business_id_1, business_id_2 FROM candidates")
+def document_candidate_pairs(spark, d):
+    """Documents as sets of word pairs: most pairs of documents share no band."""
+    return similarity.candidates(similarity.buckets(similarity.signatures(tables.document_pairs(spark, d)), PAIR_BANDS, PAIR_ROWS))
+
+
+@query(f"""{DOC_LSH}, sizes AS (SELECT business_id, count(*) AS n FROM members GROUP BY business_id),
+  common AS (SELECT business_id_1, business_id_2, count(*) AS c FROM candidates JOIN members x ON x.business_id = business_id_1 JOIN members y ON y.business_id = business_id_2 AND x.user_id = y.user_id GROUP BY ALL)
+  SELECT business_id_1, business_id_2, round(c / (s.n + t.n - c), 6) AS similarity FROM common JOIN sizes s ON s.business_id = business_id_1 JOIN sizes t ON t.business_id = business_id_2 WHERE c / (s.n + t.n - c) >= 0.9""")
+def similar_documents(spark, d):
+    """At a threshold that drops a part of the candidates."""
+    return similarity.similar(tables.document_pairs(spark, d), 0.9, PAIR_BANDS, PAIR_ROWS).withColumn("similarity", F.round("similarity", 6))
+
+
+# -- readers and writers: a test table is written in the format and read back by the package's own reader
+
+
+def _read_back(spark, df: DataFrame, kind: str, read) -> DataFrame:
+    path = work_path(spark, kind)
+    (df.write.json(path) if kind == "json" else df.write.csv(path, header=True))
+    return read(spark, path)
+
+
+@query(f"WITH {REVIEWS} SELECT user_id, business_id, date FROM reviews")
+def read_reviews_json(spark, d):
+    return _read_back(spark, tables.reviews(spark, d), "json", files.reviews)
+
+
+@query(f"WITH {REVIEWS} SELECT business_id, count(*) AS n FROM reviews GROUP BY business_id")
+def read_review_businesses_json(spark, d):
+    return explore.counts(_read_back(spark, tables.reviews(spark, d), "json", files.review_businesses), "business_id")
+
+
+@query(f"WITH {REVIEWS} SELECT business_id, CASE WHEN stars > 1 THEN stars END AS stars FROM reviews")
+def read_review_stars_json(spark, d):
+    """Stars may be missing."""
+    some = tables.reviews(spark, d).withColumn("stars", F.when(F.col("stars") > 1, F.col("stars")))
+    return _read_back(spark, some, "json", files.review_stars)
+
+
+@query(f"WITH {BUSINESSES} SELECT business_id, city FROM businesses")
+def read_businesses_json(spark, d):
+    return _read_back(spark, tables.businesses(spark, d), "json", files.businesses)
+
+
+@query(f"WITH {REVIEWS} SELECT user_id, business_id FROM reviews")
+def read_pairs_csv(spark, d):
+    return _read_back(spark, tables.reviews(spark, d), "csv", files.pairs)
+
+
+@query(f"WITH {REVIEWS} SELECT user_id, business_id, stars FROM reviews")
+def read_ratings_csv(spark, d):
+    return _read_back(spark, tables.reviews(spark, d).select("user_id", "business_id", "stars"), "csv", files.ratings)
+
+
+@query(f"WITH {REVIEWS} SELECT 2 AS n_partition, count(*) AS n FROM reviews")
+def spread_over_two(spark, d):
+    dealt = files.spread(tables.reviews(spark, d), 2).select(F.spark_partition_id().alias("p"))
+    return dealt.agg(F.countDistinct("p").cast("int").alias("n_partition"), F.count("*").alias("n"))
+
+
+@query(f"{CITY} SELECT city, stars, row_number() OVER (ORDER BY stars DESC, lower(city), city) AS place FROM cities")
+def write_city_csv(spark, d):
+    """One headered CSV file in the operator's order; the place is that of the line."""
+    path = work_path(spark, "cities")
+    files.write_city_stars(explore.city_stars(tables.businesses(spark, d), tables.reviews(spark, d)), path)
+    got = spark.read.schema("city string, stars double").csv(path, header=True).withColumn("at", F.monotonically_increasing_id())
+    return _placed(got, "at").drop("at")
+
+
+@query(f"{CITY} SELECT city || ',' || stars AS value FROM cities")
+def write_city_text(spark, d):
+    path = work_path(spark, "cities")
+    files.write_city_stars_text(explore.city_stars(tables.businesses(spark, d), tables.reviews(spark, d)), path)
+    return spark.read.text(path)
+
+
 # -- rating prediction
 
 RATED = f"{REVIEWS}, latest AS (SELECT user_id, business_id AS item_id, stars, row_number() OVER (PARTITION BY user_id, business_id ORDER BY order_id DESC, line DESC, stars DESC) AS r FROM reviews), ratings AS (SELECT user_id, item_id, stars FROM latest WHERE r = 1)"
@@ -372,11 +517,40 @@ def item_cf_rmse(spark, d):
     return recommend.rmse(recommend.item_cf(*_split(spark, d))).select(F.round("rmse", 6).alias("rmse"))
 
 
-@query()
+@query(USER_CF.replace("JOIN train r ON r.item_id = t.item_id)", "JOIN train r ON r.item_id = t.item_id AND r.user_id <> t.user_id)", 1) + " SELECT user_id, item_id, stars, round(prediction, 6) AS prediction FROM predicted")
+def user_cf_exclude_self(spark, d):
+    return _shown(recommend.user_cf(*_split(spark, d), exclude_self=True))
+
+
+@query(ITEM_CF.replace("WHEN o.stars IS NOT NULL THEN o.stars", "WHEN o.stars IS NOT NULL THEN t.stars") + " SELECT user_id, item_id, stars, round(prediction, 6) AS prediction FROM predicted")
+def item_cf_echo_label(spark, d):
+    return _shown(recommend.item_cf(*_split(spark, d), echo_label=True))
+
+
+@query(ITEM_CF + " SELECT user_id, item_id AS business_id, round(prediction, 4) AS prediction FROM predicted")
+def write_predictions_csv(spark, d):
+    path = work_path(spark, "predictions")
+    files.write_predictions(recommend.item_cf(*_split(spark, d)).withColumnRenamed("item_id", "business_id"), path)
+    return spark.read.schema("user_id string, business_id string, prediction double").csv(path, header=True).withColumn("prediction", F.round("prediction", 4))
+
+
+@query(f"{LSH}, sizes AS (SELECT business_id, count(*) AS n FROM members GROUP BY business_id), common AS (SELECT business_id_1, business_id_2, count(*) AS c FROM candidates JOIN members x ON x.business_id = business_id_1 JOIN members y ON y.business_id = business_id_2 AND x.user_id = y.user_id GROUP BY ALL), sims AS (SELECT business_id_1, business_id_2, c / (s.n + t.n - c) AS similarity FROM common JOIN sizes s ON s.business_id = business_id_1 JOIN sizes t ON t.business_id = business_id_2) SELECT business_id_1, business_id_2, round(similarity, 6) AS similarity, row_number() OVER (ORDER BY business_id_1, business_id_2) AS place FROM sims WHERE similarity >= 0.6")
+def write_similar_csv(spark, d):
+    """A headered CSV in order of the ids; the place is that of the line."""
+    path = work_path(spark, "similar")
+    files.write_similar(similarity.similar(tables.brand_customers(spark, d), 0.6).coalesce(1), path)
+    got = spark.read.schema("business_id_1 string, business_id_2 string, similarity double").csv(path, header=True)
+    return _placed(got.withColumn("at", F.monotonically_increasing_id()), "at").drop("at").withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"WITH {REVIEWS}, {SPLIT} SELECT user_id, item_id, stars, true AS in_range FROM test t WHERE user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM train)")
 def als_predict(spark, d):
-    return recommend.als(*_split(spark, d))
+    """The factors are Spark's own; the rows are those of known users and items, and every prediction lies within [1, 5]."""
+    return recommend.als(*_split(spark, d)).select("user_id", "item_id", "stars", F.col("prediction").between(1, 5).alias("in_range"))
 
 
-@query()
+@query(f"WITH {REVIEWS}, {SPLIT} SELECT count(*) AS n, true AS within FROM test t WHERE user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM train)")
 def als_rmse(spark, d):
-    return recommend.rmse(recommend.als(*_split(spark, d)))
+    """Rows that are predicted, and whether the error lies between 0 and the width of the scale."""
+    found = recommend.als(*_split(spark, d))
+    return found.agg(F.count("*").alias("n")).crossJoin(recommend.rmse(found).select(F.col("rmse").between(0, 4).alias("within")))

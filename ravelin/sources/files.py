@@ -58,10 +58,16 @@ def spread(df: DataFrame, partitions: int = 2) -> DataFrame:
     return df.repartition(partitions)
 
 
-def write_document(row: DataFrame, path: str) -> None:
-    """A one-row DataFrame as one JSON document in a local file."""
+def document(row: DataFrame) -> str:
+    """A one-row DataFrame as one JSON document; arrays of structs become lists of lists, like ``[id, count]``."""
     line = row.select(F.to_json(F.struct(*row.columns), {"ignoreNullFields": "false"})).first()
-    Path(path).write_text(json.dumps(json.loads(line[0])) if line else "{}")
+    fields = json.loads(line[0]) if line else {}
+    return json.dumps({k: [list(x.values()) if isinstance(x, dict) else x for x in v] if isinstance(v, list) else v for k, v in fields.items()})
+
+
+def write_document(row: DataFrame, path: str) -> None:
+    """``document`` in a local file."""
+    Path(path).write_text(document(row))
 
 
 def write_city_stars(cities: DataFrame, path: str) -> None:

@@ -47,6 +47,21 @@ def type_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_type").alias("user_id"), F.col("l_orderkey").cast("string").alias("business_id"))
 
 
+def order_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``user_id, business_id``: order and size of the part of each line item."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").cast("string").alias("user_id"), F.lpad(F.col("p_size").cast("string"), 2, "0").alias("business_id"))
+
+
+def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``user_id, business_id``: pairs of words that follow each other in a document, and the document."""
+    words = F.filter(F.split("text", "[ \\n]+"), lambda w: w != "")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("business_id"), words.alias("w"))
+    both = F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
+    return docs.select(F.explode(F.filter(both, lambda x: F.instr(x, " ") > 0)).alias("user_id"), "business_id")
+
+
 def brand_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``user_id, business_id``: customer and brand of each line item."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("business_id"), "p_brand")

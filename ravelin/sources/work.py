@@ -5,22 +5,36 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the folder named in ``spark.checkpoint.dir`` and read it back: its plan ends there, and it outlives executors.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``.
 
-    Where that setting is missing (tests, a laptop) a private folder is used.
+    Where that setting is missing a private folder is used if the master is
+    local (tests, a laptop); on a cluster no folder of one machine would do, so
+    that raises.
     """
     global _own
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        _own = _own or tempfile.mkdtemp(prefix="ravelin-")
-        folder = f"file://{_own}"
-    path = f"{folder.rstrip('/')}/ravelin-{name}-{uuid.uuid4().hex[:12]}"
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    _own = _own or tempfile.mkdtemp(prefix="ravelin-")
+    return f"file://{_own}"
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/ravelin-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: its plan ends there, and it outlives executors."""
+    path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,7 +13,7 @@ def test_programs(spark, tmp_path, capsys):
     cli.main(["summary", at("r.json"), at("o1")])
     assert json.loads((tmp_path / "o1").read_text())["n_review"] == 9
     cli.main(["partitions", at("r.json"), at("o2"), "2"])
-    assert json.loads((tmp_path / "o2").read_text())["custom"]["n_partition"] == 2
+    assert json.loads((tmp_path / "o2").read_text())["customized"]["n_partition"] == 2
     cli.main(["cities", at("r.json"), at("b.json"), at("o3"), at("o4")])
     assert spark.read.csv(at("o3"), header=True).count() == 2
     cli.main(["itemsets", at("p.csv"), at("o5"), "--support", "2"])

@@ -59,7 +59,7 @@ def test_null_city_is_a_group_and_last(spark, reviews):
 def test_report_document(reviews, tmp_path):
     files.write_document(explore.report(reviews), str(tmp_path / "out.json"))
     got = json.loads((tmp_path / "out.json").read_text())
-    assert got["n_review_2018"] == 6 and got["top10_user"][0] == {"id": "u1", "n": 3}
+    assert got["n_review_2018"] == 6 and got["top10_user"][0] == ["u1", 3]
 
 
 def test_readers(spark, tmp_path):
@@ -97,7 +97,7 @@ def test_layouts(reviews):
     sums = {r.layout: r.n for r in got.groupBy("layout").agg({"n_items": "sum"}).withColumnRenamed("sum(n_items)", "n").collect()}
     assert sums == {"hash": 6, "range": 6} and got.count() == 6
     compared = layout.compare_partitioners(counts, 3)
-    assert compared["custom"]["n_partition"] == 3 and sum(compared["default"]["n_items"]) == 6
+    assert compared["customized"]["n_partition"] == 3 and sum(compared["default"]["n_items"]) == 6
     assert set(layout.compare_fetches(counts)) == {"m1", "m2", "explanation"}
 
 

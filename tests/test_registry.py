@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 from ravelin.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem".split()
+TABLES = "region nation customer supplier part orders lineitem documents".split()
 
 
 @pytest.fixture(scope="module")
