@@ -222,9 +222,14 @@ def frequent_k3(spark, d):
     return _level(_brands(spark, d), 3, True)
 
 
+FOUR_FIVE = """s4 AS (SELECT w.item AS a, x.item AS b, y.item AS c, z.item AS d, w.basket, count(*) OVER (PARTITION BY w.item, x.item, y.item, z.item) AS n FROM baskets w JOIN baskets x ON w.basket = x.basket AND w.item < x.item JOIN baskets y ON w.basket = y.basket AND x.item < y.item JOIN baskets z ON w.basket = z.basket AND y.item < z.item),
+  s5 AS (SELECT a, b, c, d, item AS e, count(*) AS n FROM s4 JOIN baskets USING (basket) WHERE d < item GROUP BY ALL)"""
+
+
 @query(f"""WITH raw AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS basket, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey),
-  baskets AS (SELECT * FROM raw WHERE basket IN (SELECT basket FROM raw GROUP BY basket HAVING count(*) > {LARGER_THAN})), {LEAST}, {THREE}
-  SELECT k, items, n AS support FROM found, least WHERE n >= s""")
+  baskets AS (SELECT * FROM raw WHERE basket IN (SELECT basket FROM raw GROUP BY basket HAVING count(*) > {LARGER_THAN})), {LEAST}, {THREE}, {FOUR_FIVE},
+  larger AS (SELECT DISTINCT 4 AS k, concat_ws(',', a, b, c, d) AS items, n FROM s4 UNION ALL SELECT 5, concat_ws(',', a, b, c, d, e), n FROM s5)
+  SELECT k, items, n AS support FROM (SELECT * FROM found UNION ALL SELECT * FROM larger), least WHERE n >= s""")
 def frequent_filtered(spark, d):
     rows = _brands(spark, d, LARGER_THAN)
     found = itemsets.levels(rows, _support(rows, SHARE))[1]
