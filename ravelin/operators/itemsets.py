@@ -60,7 +60,7 @@ def levels(rows: DataFrame, support: int, most: int | None = None) -> tuple[Data
         candidates = _candidates(frequent, k)
         a = held.select("basket", F.slice("items", 1, k - 2).alias("begin"), F.element_at("items", -1).alias("x"))
         b = held.select("basket", F.slice("items", 1, k - 2).alias("begin"), F.element_at("items", -1).alias("y"))
-        met = a.join(b, ["basket", "begin"]).where("x < y").select("basket", F.concat("begin", F.array("x", "y")).alias("items"))
+        met = written(a.join(b, ["basket", "begin"]).where("x < y").select("basket", F.concat("begin", F.array("x", "y")).alias("items")), "met")
         counted = met.groupBy("items").agg(F.count("*").alias("support"))
         level = written(candidates.join(counted, "items", "left").select(F.lit(k).alias("k"), "items", F.coalesce("support", F.lit(0)).alias("support")), "level")
         frequent = level.where(F.col("support") >= support)

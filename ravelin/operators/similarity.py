@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.minhash import BANDS, HASHES, bands, signature
+from ..sources.work import written
 
 
 def dictionary(values: DataFrame, column: str, parts: int = 64) -> DataFrame:
@@ -14,7 +15,7 @@ def dictionary(values: DataFrame, column: str, parts: int = 64) -> DataFrame:
     Values are ranked within ranges of their order and shifted by the sizes of
     the ranges before, so no task sorts them all.
     """
-    ids = values.select(column).where(F.col(column).isNotNull()).distinct()
+    ids = written(values.select(column).where(F.col(column).isNotNull()).distinct(), "ids")
     cuts = ids.repartitionByRange(parts, column).groupBy(F.spark_partition_id().alias("p")).agg(F.min(column).alias("low"))
     lows = sorted(r.low for r in cuts.collect())  # at most ``parts`` values
     if not lows:
@@ -38,7 +39,7 @@ def members(pairs: DataFrame) -> DataFrame:
 
 def signatures(pairs: DataFrame, hashes=HASHES) -> DataFrame:
     """``business_id, signature``: minima of the hashes over the numbers of a business's users, modulo the number of users."""
-    rows = members(pairs)
+    rows = written(members(pairs), "members")
     users = dictionary(rows, "user_id")
     m = max(1, users.count())
     return rows.join(users, "user_id").groupBy("business_id").agg(signature(F.col("idx"), m, hashes).alias("signature"))
@@ -58,7 +59,7 @@ def candidates(found: DataFrame) -> DataFrame:
 
 def jaccard(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``business_id_1, business_id_2, similarity`` of the wanted pairs."""
-    rows = members(pairs)
+    rows = written(members(pairs), "members")
     sizes = rows.groupBy("business_id").agg(F.count("*").alias("n"))
     one = rows.select(F.col("business_id").alias("business_id_1"), "user_id")
     two = rows.select(F.col("business_id").alias("business_id_2"), "user_id")

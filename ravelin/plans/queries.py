@@ -432,7 +432,7 @@ SPLIT = """newest AS (SELECT user_id, max(order_id) AS o FROM reviews GROUP BY u
 def _split(spark, d) -> tuple[DataFrame, DataFrame]:
     rows = tables.rated(spark, d)
     newest = rows.groupBy("user_id").agg(F.max("order_id").alias("newest"))
-    marked = rows.join(newest, "user_id")
+    marked = written(rows.join(newest, "user_id"), "marked")
     part = lambda cond: written(recommend.last_ratings(marked.where(cond), ["order_id", "line"]), "ratings")
     return part("order_id < newest"), part("order_id = newest")
 
