@@ -1,45 +1,20 @@
 """Shared plumbing of the training-data operators.
 
-Intermediate tables go to the folder that the cluster names in
-``spark.checkpoint.dir`` and are read back from there, which cuts lineage and
-survives the loss of an executor.  Only where that setting is missing (tests,
-a laptop) is a private folder chosen.
+Intermediate tables (``work_path``, ``written``) go to the folder that the
+cluster names in ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to Python at once; long texts make large batches otherwise.
-BATCH_ROWS = 256
-
-_own_dir: str | None = None
-
+from ..sources.work import work_path, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors for intermediate tables."""
-    global _own_dir
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="ravelin-")
-    return f"file://{_own_dir}"
+__all__ = ["BATCH_ROWS", "free_name", "payload", "remainder", "tune", "work_path", "written"]
 
-
-def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/ravelin-{name}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends here."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows handed to Python at once; long texts make large batches otherwise.
+BATCH_ROWS = 256
 
 
 def tune(spark: SparkSession) -> None:

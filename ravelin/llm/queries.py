@@ -80,10 +80,21 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+#: A page shows the document whose number ends its path.
+SHOWN = "/([0-9]{1,18})(?:/|[.]html)?$"
+
+
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The outcome of a page is the label under its number: bad if of low quality or toxic."""
+    """The outcome of a page is the label of the document that it shows: bad if of low quality or toxic."""
+    pages = _table(spark, sf_dir, "pages")
     labels = _table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return url_reputation.verdicts(_table(spark, sf_dir, "pages"), labels, URL_RULES)
+    number = F.regexp_extract(url_reputation.host_and_path(F.col("url"))[1], SHOWN, 1)
+    shown = pages.select("page_id", F.when(number != "", number).cast("long").alias("doc_id"))
+    return url_reputation.verdicts(pages, shown.join(labels, "doc_id").select("page_id", "bad"), URL_RULES)
+
+
+OP10_OUTCOMES = f"""SELECT page_id AS i, (quality = 0 OR toxic = 1)::INT AS bad
+  FROM (SELECT page_id, nullif(regexp_extract(path, '{SHOWN}', 1), '')::BIGINT AS doc_id FROM parts) JOIN labels USING (doc_id)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -91,4 +102,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_imatch": imatch.oracle(), "op5_warc": OP5_SQL, "op10_url_reputation": url_reputation.oracle(URL_RULES, "SELECT doc_id AS i, (quality = 0 OR toxic = 1)::INT AS bad FROM labels")}
+    return {"op3_imatch": imatch.oracle(), "op5_warc": OP5_SQL, "op10_url_reputation": url_reputation.oracle(URL_RULES, OP10_OUTCOMES)}

@@ -15,7 +15,8 @@ join on host and salt, so a host with a third of all pages is dealt over
 
 Defined results: a null url, or one without ``://``, has empty host and path
 and is judged as the host ''; null or repeated outcomes of a page count once
-(bad if any is); hosts without outcomes get their domain's posterior; without
+(bad if any is); of rules of equal length that with the longer host wins, then a
+block; hosts without outcomes get their domain's posterior; without
 any outcomes all hosts are allowed; repeated rows get equal verdicts.
 """
 
@@ -30,11 +31,19 @@ Z, BLOCK_ABOVE, SALTS = 1.645, 0.5, 8
 #: Bounds of a level's prior strength in pages.
 WEAKEST, STRONGEST = 1.0, 10_000.0
 
-#: Public suffixes of two labels.
-TWO_LABEL_SUFFIXES = ["ac.uk", "co.in", "co.jp", "co.nz", "co.uk", "co.za", "com.au", "com.br", "gov.uk", "net.au", "org.au", "org.uk"]
+#: Second labels that make a public suffix below any country's two letters (``co.uk``, ``com.mx``, ``or.jp``).
+SECOND_LABELS = ["ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "govt", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DOMAIN = "((?:[^.]+\\.)?(?:" + "|".join(s.replace(".", "\\.") for s in TWO_LABEL_SUFFIXES) + "|[^.]+))$"
+
+
+def domain_pattern(suffixes: list[str] | None = None) -> str:
+    """Pattern of the registered domain; ``suffixes``: further public suffixes, such as a full list of them (``blogspot.com``)."""
+    more = "".join("|" + s.replace(".", "\\.") for s in sorted(suffixes or [], key=lambda s: (-len(s), s)))
+    return "((?:[^.]+\\.)?(?:" + f"(?:{'|'.join(SECOND_LABELS)})\\.[a-z]{{2}}{more}|[^.]+))$"
+
+
+DOMAIN = domain_pattern()
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -45,18 +54,25 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(raw, _UPPER, _LOWER), F.regexp_extract(F.substring(rest, F.length(raw) + 1, F.length(rest)), "^[^?#]*", 0)
 
 
-def domain_of(host: Column) -> Column:
-    return F.regexp_extract(host, DOMAIN, 1)
+def domain_of(host: Column, suffixes: list[str] | None = None) -> Column:
+    return F.regexp_extract(host, domain_pattern(suffixes), 1)
 
 
 def suffix_of(domain: Column) -> Column:
     return F.when(F.instr(domain, ".") > 0, F.substring(domain, F.instr(domain, ".") + 1, F.length(domain))).otherwise("")
 
 
+def _rank(rule: tuple[str, str, str]) -> tuple:
+    return len(rule[1] + rule[2]), len(rule[1]), rule[0] == "block", rule[1:]
+
+
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """(rule, verdict) of the longest fitting rule, null if none fits; rules: (verdict, host, path prefix)."""
+    """(rule, verdict) of the longest fitting rule, null if none fits; rules: (verdict, host, path prefix).
+
+    Of rules of equal length that with the longer host wins, then a block.
+    """
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):  # longer ones wrap shorter ones
+    for verdict, h, p in sorted(rules, key=_rank):  # those that win wrap the others
         fits = ((host == h) | F.endswith(host, F.lit(f".{h}"))) & F.startswith(path, F.lit(p))
         found = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(found)
     return found
@@ -75,7 +91,7 @@ def _strength(groups: DataFrame) -> tuple[float, float]:
     return p, STRONGEST if rho <= 0 else min(STRONGEST, max(WEAKEST, (1 - rho) / rho))
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", suffixes: list[str] | None = None) -> DataFrame:
     """One row per host of ``pages``: ``host, n, b, bad_rate, lower``.
 
     ``outcomes``: (id, bad boolean) of labelled pages.
@@ -84,7 +100,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", u
     host, _ = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("i"), host.alias("host")).distinct().join(known, "i", "left")
     hosts = rows.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
-    hosts = written(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain"))), "hosts")
+    hosts = written(hosts.withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("domain"))), "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     (p, s1), (_, s2), (_, s3) = _strength(suffixes), _strength(domains), _strength(hosts)
@@ -95,9 +111,9 @@ def reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", u
     return out.withColumn("lower", F.col("bad_rate") - F.lit(Z) * F.sqrt(F.col("bad_rate") * (1 - F.col("bad_rate")) / (F.lit(s3) + F.col("n") + 1)))
 
 
-def verdicts(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def verdicts(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", suffixes: list[str] | None = None) -> DataFrame:
     """One row per page row: ``page_id, host, path, rule, verdict, bad_rate``; bad_rate is the posterior mean."""
-    table = written(reputation(pages, outcomes, id_col, url_col).select("host", "bad_rate", (F.col("lower") > BLOCK_ABOVE).alias("bad")), "reputation")
+    table = written(reputation(pages, outcomes, id_col, url_col, suffixes).select("host", "bad_rate", (F.col("lower") > BLOCK_ABOVE).alias("bad")), "reputation")
     table = table.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int").alias("salt"))
@@ -107,7 +123,7 @@ def verdicts(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str,
 
 def oracle(rules: list[tuple[str, str, str]], outcomes_sql: str) -> str:
     """The same in DuckDB SQL over a view ``pages``; outcomes_sql gives (i, bad 0 or 1)."""
-    cases = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v} {h}{p}'" for v, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2])))
+    cases = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v} {h}{p}'" for v, h, p in sorted(rules, key=_rank, reverse=True))
     strength = lambda t: f"""(SELECT CASE WHEN coalesce(sum(n), 0) = 0 THEN {STRONGEST} ELSE (
         WITH m AS (SELECT count(*) AS k, sum(n)::DOUBLE AS n, sum(b)::DOUBLE AS b, sum(n::DOUBLE * n) AS nn, sum(b::DOUBLE * b / n) AS bb FROM {t} WHERE n > 0),
         q AS (SELECT *, b / n AS p FROM m),

@@ -46,6 +46,16 @@ def test_domains(spark):
     df = spark.createDataFrame([("a.b.example.com",), ("x.foo.co.uk",), ("co.uk",), ("host",), ("",)], "h string")
     got = [(r.d, r.s) for r in df.select(u.domain_of(F.col("h")).alias("d")).withColumn("s", u.suffix_of(F.col("d"))).collect()]
     assert got == [("example.com", "com"), ("foo.co.uk", "co.uk"), ("co.uk", "uk"), ("host", ""), ("", "")]
+    more = spark.createDataFrame([("x.shop.com.mx",), ("a.b.blogspot.com",), ("b.or.jp",)], "h string").select(u.domain_of(F.col("h"), ["blogspot.com"]).alias("d"))
+    assert [r.d for r in more.collect()] == ["shop.com.mx", "b.blogspot.com", "b.or.jp"]
+
+
+def test_rules_of_equal_length(spark):
+    df = spark.createDataFrame([("http://a.bc/d",)], "url string")
+    rules = [("allow", "bc", "/d"), ("block", "bc", "/d"), ("allow", "c", "/d")]
+    for order in (rules, rules[::-1]):
+        host, path = u.host_and_path(F.col("url"))
+        assert df.select(u.rule_of(host, path, order).alias("r")).first().r.verdict == "block"
 
 
 def test_no_outcomes_and_no_pages(spark):
