@@ -2,16 +2,16 @@
 
 Terms are the pieces of a text between ASCII blanks and punctuation, A-Z
 lower-cased.  The lexicon holds the terms whose inverse document frequency lies
-in a band: those in at most ``MOST_DOCS`` of the documents, and in at least
-``LEAST_DOCS`` of them, or more where needed to bound the lexicon: terms in a
-share p of the documents number at most (mean terms per document) / p, so the
-share is raised to (mean terms) / ``LEXICON``, and the lexicon is sure to fit
-that size, whatever the corpus.  It is sent along inside the plan as a hash set.
+in a band: those in at most ``MOST_DOCS`` of the documents and in at least as
+many as leaves ``LEXICON`` terms, two at least.  The lower edge is found from the
+number of terms of each document frequency, a short table; it does not depend on
+the length of the texts.  The lexicon is sent along inside the plan as a hash set.
 
 A fingerprint has one component per randomised subset of the lexicon: the hash
-of the text's sorted distinct terms in the subset.  Subsets keep a half, a
-quarter, an eighth and a sixteenth of the lexicon, ``EACH`` of each, by disjoint
-bits of the term's hash.  A subset without terms gives a component of zeros; if
+of the text's sorted distinct terms in the subset.  Subsets keep a sixteenth, a
+thirty-second and so on down to one in 512 of the lexicon, ``EACH`` of each, by
+disjoint bits of the term's hash, so that some have one or two terms of a text,
+whether it is short or long.  A subset without terms gives a component of zeros; if
 all are empty, the whole text is hashed instead, so that texts without lexicon
 terms are not taken for equal.  Likeness is the share of components that agree,
 of those not empty on both sides.
@@ -26,22 +26,27 @@ from __future__ import annotations
 
 import math
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MOST_DOCS, LEAST_DOCS, LEXICON = 0.25, 0.005, 20_000
-EACH, HALVINGS = 4, 4
+from ._common import written
+
+MOST_DOCS, LEXICON = 0.25, 20_000
+EACH, HALVINGS = 3, range(4, 10)
 #: Buckets of neighbouring ids: FAN to the power of the levels, with about ROWS rows each, three levels at most.
 FAN, ROWS = 32, 500
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPLIT = "[\\x09-\\x0D -/:-@\\[-`{-~]+"
-#: (bit offset, mask) of each subset in a term's hash.
-SUBSETS: list[tuple[int, int]] = []
-for _d in range(1, HALVINGS + 1):
+#: (number, bit offset, mask) of each subset in the two 60-bit numbers of a term's hash.
+SUBSETS: list[tuple[int, int, int]] = []
+for _d in HALVINGS:
     for _ in range(EACH):
-        SUBSETS.append((SUBSETS[-1][0] + SUBSETS[-1][1].bit_length() if SUBSETS else 0, (1 << _d) - 1))
+        _n, _at = (SUBSETS[-1][0], SUBSETS[-1][1] + SUBSETS[-1][2].bit_length()) if SUBSETS else (0, 0)
+        SUBSETS.append((_n, _at, (1 << _d) - 1) if _at + _d <= 60 else (_n + 1, 0, (1 << _d) - 1))
+assert SUBSETS[-1][0] < 2
 WIDTH = 16
 _LAST = -(1 << 63)
 
@@ -53,21 +58,31 @@ def terms(text: Column) -> Column:
 
 def lexicon(docs: DataFrame, text_col: str = "text") -> list[str]:
     """The terms in the band, sorted; at most LEXICON."""
-    each = docs.select(F.array_distinct(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("t"))
-    size = each.agg(F.count("*").alias("n"), F.sum(F.size("t")).alias("terms")).first()
-    if not size.n:
-        return []
-    least = max(LEAST_DOCS, (size.terms or 0) / size.n / LEXICON) * size.n
-    count = each.select(F.explode("t").alias("t")).groupBy("t").count()
-    band = count.where((F.col("count") >= least) & (F.col("count") <= MOST_DOCS * size.n) & (F.col("count") >= 2))
-    return sorted(r.t for r in band.select("t").collect())
+    n = docs.count()
+    each = docs.select(F.explode(F.array_distinct(terms(F.coalesce(F.col(text_col), F.lit(""))))).alias("t"))
+    count = written(each.groupBy("t").count().where((F.col("count") >= 2) & (F.col("count") <= MOST_DOCS * n)), "terms")
+    so_far, least = 0, None
+    for r in sorted(count.groupBy("count").agg(F.count("*").alias("k")).collect(), key=lambda r: -r["count"]):  # one row for each frequency
+        so_far += r.k
+        if so_far > LEXICON:
+            break
+        least = r["count"]
+    return [] if least is None else sorted(r.t for r in count.where(F.col("count") >= least).select("t").collect())
+
+
+def _among(term: Column, words: list[str]) -> Column:
+    """``term.isin(words)``, handed to the planner as one list instead of a call for each word; terms hold no blanks."""
+    jvm = SparkContext._active_spark_context._jvm
+    every = jvm.java.util.regex.Pattern.compile(" ").splitAsStream(" ".join(words)).toList()
+    return Column(term._jc.isInCollection(every))
 
 
 def _in_band(text: Column, words: list[str]) -> Column:
     """Sorted distinct lexicon terms of a text with their hashes."""
-    kept = F.filter(terms(text), lambda t: t.isin(words) if words else F.lit(False))
-    number = lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 15), 16, 10).cast("long")
-    return F.transform(F.array_sort(F.array_distinct(kept)), lambda t: F.struct(t.alias("t"), number(t).alias("h")))
+    kept = F.filter(terms(text), lambda t: _among(t, words) if words else F.lit(False))
+    hashed = F.transform(F.array_sort(F.array_distinct(kept)), lambda t: F.struct(t.alias("t"), F.md5(t.cast("binary")).alias("m")))
+    number = lambda m, k: F.conv(F.substring(m, 1 + 15 * k, 15), 16, 10).cast("long")
+    return F.transform(hashed, lambda x: F.struct(x["t"].alias("t"), number(x["m"], 0).alias("h0"), number(x["m"], 1).alias("h1")))
 
 
 def fingerprint(text: Column, words: list[str]) -> Column:
@@ -78,10 +93,10 @@ def fingerprint(text: Column, words: list[str]) -> Column:
         found, body = pair["found"], pair["text"]
 
         def one(s: Column) -> Column:
-            own = F.filter(found, lambda x: F.call_function("shiftright", x["h"], s["at"]).bitwiseAND(s["mask"]) == 0)
+            own = F.filter(found, lambda x: F.call_function("shiftright", F.when(s["of"] == 0, x["h0"]).otherwise(x["h1"]), s["at"]).bitwiseAND(s["mask"]) == 0)
             return F.when(F.size(own) == 0, F.lit("0" * WIDTH)).otherwise(F.substring(F.md5(F.array_join(F.transform(own, lambda x: x["t"]), " ").cast("binary")), 1, WIDTH))
 
-        subsets = F.array(*[F.struct(F.lit(a).alias("at"), F.lit(m).cast("long").alias("mask")) for a, m in SUBSETS])
+        subsets = F.array(*[F.struct(F.lit(n).alias("of"), F.lit(a).alias("at"), F.lit(m).cast("long").alias("mask")) for n, a, m in SUBSETS])
         joined = F.array_join(F.transform(subsets, one), "")
         bare = F.repeat(F.substring(F.md5(body.cast("binary")), 1, WIDTH), len(SUBSETS))
         return F.when(joined == "0" * WIDTH * len(SUBSETS), bare).otherwise(joined)
@@ -175,7 +190,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def oracle() -> str:
     """The same in DuckDB SQL over a view ``documents``."""
-    subsets = ", ".join(f"({k}, {a}, {m})" for k, (a, m) in enumerate(SUBSETS))
+    subsets = ", ".join(f"({k}, {n}, {a}, {m})" for k, (n, a, m) in enumerate(SUBSETS))
     zero = "0" * WIDTH
     part = lambda x: f"{x}[1 + {WIDTH} * i : {WIDTH} * (i + 1)]"
     count = lambda cond: f"len([i for i in range({len(SUBSETS)}) if {cond}])"
@@ -188,10 +203,10 @@ def oracle() -> str:
     texts AS (SELECT k, 0 AS kind, text FROM x UNION ALL SELECT k, 1 AS kind, edited FROM x),
     terms AS (SELECT DISTINCT k, kind, unnest(regexp_split_to_array(translate(text, '{_UPPER}', '{_LOWER}'), '{SPLIT}')) AS term FROM texts),
     own AS (SELECT term, count(*) AS df FROM terms WHERE kind = 0 AND term <> '' GROUP BY term),
-    size AS (SELECT (SELECT count(*) FROM d) AS n, (SELECT sum(df) FROM own) AS total),
-    lexicon AS (SELECT term, ('0x' || substr(md5(term), 1, 15))::BIGINT AS h FROM own, size WHERE df >= greatest({LEAST_DOCS}::DOUBLE, total::DOUBLE / n / {LEXICON}) * n AND df <= {MOST_DOCS}::DOUBLE * n AND df >= 2),
-    subsets(s, low, mask) AS (VALUES {subsets}),
-    parts AS (SELECT k, kind, s, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, {WIDTH}) AS part FROM terms JOIN lexicon USING (term) JOIN subsets ON ((h >> low) & mask) = 0 GROUP BY k, kind, s),
+    band AS (SELECT term, df FROM own, (SELECT count(*) AS n FROM d) WHERE df >= 2 AND df <= {MOST_DOCS}::DOUBLE * n),
+    lexicon AS (SELECT term, ('0x' || substr(md5(term), 1, 15))::BIGINT AS h0, ('0x' || substr(md5(term), 16, 15))::BIGINT AS h1 FROM (SELECT term, count(*) OVER (ORDER BY df DESC) AS upto FROM band) WHERE upto <= {LEXICON}),
+    subsets(s, which, low, mask) AS (VALUES {subsets}),
+    parts AS (SELECT k, kind, s, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, {WIDTH}) AS part FROM terms JOIN lexicon USING (term) JOIN subsets ON ((CASE which WHEN 0 THEN h0 ELSE h1 END >> low) & mask) = 0 GROUP BY k, kind, s),
     prints AS (SELECT t.k, t.kind, CASE WHEN count(part) = 0 THEN repeat(substr(md5(any_value(text)), 1, {WIDTH}), {len(SUBSETS)}) ELSE string_agg(coalesce(part, '{zero}'), '' ORDER BY s) END AS print
       FROM (SELECT k, kind, text, s FROM texts CROSS JOIN subsets) t LEFT JOIN parts USING (k, kind, s) GROUP BY t.k, t.kind),
     a AS (SELECT x.k, doc_id, n, edited, p.print AS fp, q.print AS fe FROM x JOIN prints p ON p.k = x.k AND p.kind = 0 JOIN prints q ON q.k = x.k AND q.kind = 1),

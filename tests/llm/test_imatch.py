@@ -3,7 +3,7 @@ from ravelin.llm import imatch, queries
 
 
 def test_against_sql(spark, prose, odd_rows):
-    rows = [(i, prose(i % 25, 40 + i)) for i in range(10, 120)] + [(7, prose(7, 50)), (7, prose(8, 50))] + [r for r in odd_rows if r[0] != 5]
+    rows = [(i, prose(i % 25, 40 + i)) for i in range(10, 120)] + [(7, prose(7, 50)), (7, prose(8, 50))] + odd_rows
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS fingerprint", "'x' AS rv_x")
     got = imatch.edited_fingerprints(docs)
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
@@ -38,3 +38,10 @@ def test_lexicon_is_bounded(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(imatch, "LEXICON", 150)
     assert len(imatch.lexicon(docs)) <= 150
+    assert 0 < len(imatch.lexicon(docs)) and imatch.lexicon(docs.limit(0)) == []
+
+
+def test_lexicon_does_not_shrink_with_long_texts(spark):
+    """The band follows from document frequencies, not from the length of the texts."""
+    rows = [(i, " ".join(f"w{(i * 613 + k) % 4000}" for k in range(600))) for i in range(60)]
+    assert len(imatch.lexicon(spark.createDataFrame(rows, "doc_id long, text string"))) > 500
