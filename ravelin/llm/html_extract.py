@@ -42,13 +42,23 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 CLOSED_BY = {"p": frozenset(BLOCK_TAGS - {"button", "label", "option"}), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option", "optgroup"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
 #: Inline elements do not matter to the path, but links to the share of linked text.
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>|<(/?)([a-z][a-z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-z][^>]*+(?:>|\Z)""", re.S | re.I)
+_INSIDE = r"""(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    rf"|<(?:svg|template|noscript){_INSIDE}(?<=/)>"  # closed in itself
+    rf"|<(?P<out>script|style){_INSIDE}>.*?(?:</(?P=out)\s*>|\Z)"
+    rf"|<(?P<gone>template|noscript|svg){_INSIDE}>(?:.*?</(?P=gone)\s*>)?"  # without an end: the tag alone
+    r"""|<[!?][^>]*+>|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<marks>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-z][^>]*+(?:>|\Z)""",
+    re.S | re.I,
+)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
 
 PATHS, WORDS = 1024, 512
 PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 14, 4, 7, 14
 PAGES, EPOCHS = 3_000, 12
+#: Pages of more blocks are read so many at a time.
+CHUNK = 4_096
 
 
 @functools.lru_cache(8192)
@@ -95,11 +105,11 @@ def blocks(page: str) -> list[Block]:
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        tag = m[3]
+        tag = m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
-        if m[2]:
+        if m["end"]:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCK_TAGS:
@@ -116,7 +126,7 @@ def blocks(page: str) -> list[Block]:
             while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
                 stack.pop()
             if tag not in VOID_TAGS:
-                stack.append((tag, _marks(tag, m[4])))
+                stack.append((tag, _marks(tag, m["marks"])))
     if at < len(page):
         add(page[at:])
     close()
@@ -158,24 +168,43 @@ class Net:
         return np.hstack([*out, m])
 
     @staticmethod
-    def run(x, mask, wx, wh, q):
-        """States (steps, pages, HIDDEN) of one direction and what its gradient needs."""
+    def cell(z, c):
+        """Gates and new state of one step."""
+        s = 1 / (1 + np.exp(-np.clip(z[:, : 3 * HIDDEN], -30, 30)))
+        i, f, o = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :]
+        g = np.tanh(z[:, 3 * HIDDEN :])
+        new = f * c + i * g
+        return i, f, o, g, new, np.tanh(new)
+
+    @classmethod
+    def run(cls, x, mask, wx, wh, q, learning=True):
+        """States (steps, pages, HIDDEN) of one direction and, in learning, what the gradient needs."""
         steps, n, _ = x.shape
         h = c = np.zeros((n, HIDDEN))
-        z_in, hs, keep = x @ wx + q, [], []
+        z_in, hs, keep = x @ wx + q, np.empty((steps, n, HIDDEN)), []
         for t in range(steps):
-            z = z_in[t] + h @ wh
-            s = 1 / (1 + np.exp(-np.clip(z[:, : 3 * HIDDEN], -30, 30)))
-            i, f, o = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :]
-            g = np.tanh(z[:, 3 * HIDDEN :])
+            i, f, o, g, new, th = cls.cell(z_in[t] + h @ wh, c)
+            if learning:
+                keep.append((h, c, i, f, o, g, th))
             k = mask[t][:, None]
-            new = f * c + i * g
-            th = np.tanh(new)
-            keep.append((h, c, i, f, o, g, th))
             c = np.where(k, new, c)
             h = np.where(k, o * th, h)
-            hs.append(h)
-        return np.stack(hs), keep
+            hs[t] = h
+        return hs, keep
+
+    def streamed(self, page: list[Block]) -> np.ndarray:
+        """Logits of one long page; vectors and states are held for CHUNK blocks at a time."""
+        out = np.full(len(page), self.par["c"][0])
+        starts = list(range(0, len(page), CHUNK))
+        for k, order, weight in (("f", starts, self.par["o"][:HIDDEN]), ("b", starts[::-1], self.par["o"][HIDDEN:])):
+            h = c = np.zeros((1, HIDDEN))
+            for start in order:
+                v = self.vectors(self.inputs(page[start : start + CHUNK])) @ self.par[f"x{k}"] + self.par[f"q{k}"]
+                for t in range(len(v)) if k == "f" else range(len(v) - 1, -1, -1):
+                    _, _, o, _, c, th = self.cell(v[t] + h @ self.par[f"h{k}"], c)
+                    h = o * th
+                    out[start + t] += float(h[0] @ weight)
+        return out
 
     @staticmethod
     def back(x, mask, wx, wh, dh_out, keep):
@@ -206,9 +235,9 @@ class Net:
             mask[: len(v), j] = True
         return x, mask
 
-    def logits(self, x, mask):
-        f, kf = self.run(x[0], mask, self.par["xf"], self.par["hf"], self.par["qf"])
-        b, kb = self.run(x[1], mask, self.par["xb"], self.par["hb"], self.par["qb"])
+    def logits(self, x, mask, learning=True):
+        f, kf = self.run(x[0], mask, self.par["xf"], self.par["hf"], self.par["qf"], learning)
+        b, kb = self.run(x[1], mask, self.par["xb"], self.par["hb"], self.par["qb"], learning)
         size = mask.sum(0)
         turned = np.zeros_like(b)
         for j, n in enumerate(size):
@@ -219,15 +248,19 @@ class Net:
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """Probability of main text for each block of each page."""
         out = [np.zeros(0)] * len(pages)
-        order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
+        chance = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        for i, p in enumerate(pages):
+            if len(p) > CHUNK:
+                out[i] = chance(self.streamed(p))
+        order = sorted((i for i, p in enumerate(pages) if 0 < len(p) <= CHUNK), key=lambda i: len(pages[i]))
         while order:
             # pages of like length together, so that padding stays small
-            n = max(1, min(64, 60_000 // max(1, len(pages[order[min(63, len(order) - 1)]]))))
+            n = max(1, min(64, 4 * CHUNK // max(1, len(pages[order[min(63, len(order) - 1)]]))))
             group, order = order[:n], order[n:]
             x, mask = self.batch([self.inputs(pages[i]) for i in group])
-            z = self.logits(x, mask)[0]
+            z = self.logits(x, mask, learning=False)[0]
             for j, i in enumerate(group):
-                out[i] = 1 / (1 + np.exp(-np.clip(z[: len(pages[i]), j], -30, 30)))
+                out[i] = chance(z[: len(pages[i]), j])
         return out
 
     def fit(self, pages: list[list[Block]], labels: list[np.ndarray], epochs: int = EPOCHS, seed: int = 5) -> None:

@@ -134,3 +134,22 @@ def test_a_capped_sample_keeps_the_prior(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
     model = toxicity.fit(docs, docs.select("doc_id", "toxic"), F.lit(True), rows=100)
     assert model.score([toxicity.words(t.encode()) for _, t, _, _ in rows]).mean() < 0.3
+
+
+def test_maxima_against_a_naive_convolution():
+    from ravelin.llm import toxicity as x
+
+    r = np.random.default_rng(1)
+    taps = r.normal(size=(x.BUCKETS, sum(x.SPANS) * x.FILTERS)).astype(np.float32)
+    taps[0] = 0
+    model = x.Model(taps, r.normal(size=len(x.SPANS) * x.FILTERS).astype(np.float32), np.zeros(len(x.SPANS) * x.FILTERS), 0.0)
+    texts = [x.words(t) for t in (b"", b"one", b"one two", b"a bad word and a good word and the end")]
+    got = model.maxima(texts)
+    for i, ids in enumerate(texts):
+        padded = np.concatenate([ids if len(ids) else x._padding(1), x._padding(max(x.SPANS) - 1)])
+        at = 0
+        for s, span in enumerate(x.SPANS):
+            for f in range(x.FILTERS):
+                best = max(model.bias[s * x.FILTERS + f] + sum(taps[w, at + j * x.FILTERS + f] for j in range(span) for w in padded[start + j]) for start in range(max(1, len(ids))))
+                assert abs(got[i, s * x.FILTERS + f] - max(best, 0)) < 1e-3
+            at += span * x.FILTERS

@@ -78,3 +78,24 @@ def test_table(spark, net):
     assert got[(5, "u")].text.count("\n\n") == 2999 and got[(None, "u")].n_chars == len(rows[4][2])
     assert got[(3, "u")].n_chars == len(h.main_text(net, [PAGE])[0])
     assert h.extracted(df.limit(0)).count() == 0
+
+
+def test_long_pages_in_chunks(monkeypatch):
+    """A page read in chunks gets the logits of the page read at once."""
+    from ravelin.llm import html_extract as h
+
+    net = h.Net(seed=9)
+    page = h.blocks("".join(f"<div class='c{i % 7}'><p>word{i} and {i * 31} more.</p></div>" for i in range(137)))
+    whole = net.label([page])[0]
+    monkeypatch.setattr(h, "CHUNK", 10)
+    assert abs(net.label([page])[0] - whole).max() < 1e-9
+
+
+def test_icons_and_unclosed_elements():
+    from ravelin.llm import html_extract as h
+
+    text = lambda s: [b.text for b in h.blocks(s)]
+    assert text("<p>a <svg class='i'/> b</p><p>c</p>") == ["a b", "c"]
+    assert text("<p>a</p><svg-icon><p>b</p></svg-icon><template-card>c</template-card>") == ["a", "b", "c"]
+    assert text("<p>a</p><svg><path d='x'><p>b</p>") == ["a", "b"]
+    assert text("<p>a</p><svg><title>t</title></svg><p>b</p><script>x<y</p>") == ["a", "b"]
