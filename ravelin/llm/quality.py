@@ -8,7 +8,8 @@ matrix per partition; an isotonic (pool-adjacent-violators) map, fitted on
 rows kept out of the ridge fit, turns ridge outputs into probabilities.
 
 Defined results: null text counts as the empty text, whose statistics are all
-zero and which is scored like any other; repeated rows get equal scores; with
+zero and which is scored like any other; repeated rows get equal scores, and of
+rows with equal ids the smallest text is learnt from; with
 no learning rows every score is 0.5; with one class the smoothed share of it.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import remainder, tune
+from ._common import remainder, tune, written
 
 #: At most so many labelled rows are learnt from, those with the smallest hash of their id.
 TRAIN_ROWS = 12_000
@@ -150,9 +151,11 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, rows: int = TRAIN_ROWS
 
     kind = docs.schema[id_col].dataType
     rows_of = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t")).join(F.broadcast(picked), "i")
+    # one row for each id, however often the table repeats it
+    rows_of = rows_of.groupBy("i").agg(F.min(F.struct("t", "y")).alias("x")).select("i", "x.t", "x.y")
     rows_of = rows_of.mapInPandas(measured, T.StructType([T.StructField("i", kind), T.StructField("y", T.LongType()), T.StructField("held", T.BooleanType()), T.StructField("x", T.ArrayType(T.DoubleType()))]))
     # the bounded sample, so that the normal equations and the calibration read it without measuring texts again
-    rows_of = rows_of.repartition(PARTS, "i").persist()
+    rows_of = written(rows_of.repartition(PARTS, "i"), "measured")
     rng = np.random.default_rng(seed)
     got = rows_of.select(F.count("*").alias("n"), F.sum("y").alias("up"), *[F.avg(F.col("x")[k]).alias(f"m{k}") for k in range(STATISTICS)], *[F.stddev_pop(F.col("x")[k]).alias(f"s{k}") for k in range(STATISTICS)]).first()
     flat = 0.5 if not got.n else (got.up + 1) / (got.n + 2)
@@ -169,7 +172,6 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, rows: int = TRAIN_ROWS
         check = rows_of.where("held").select("x", "y").collect() or rows_of.select("x", "y").collect()
         out = model.raw(np.array([r.x for r in check]))
         model.steps, model.values = isotonic(out, np.array([float(r.y) for r in check]))
-    rows_of.unpersist()
     return model
 
 

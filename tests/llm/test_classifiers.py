@@ -153,3 +153,17 @@ def test_maxima_against_a_naive_convolution():
                 best = max(model.bias[s * x.FILTERS + f] + sum(taps[w, at + j * x.FILTERS + f] for j in range(span) for w in padded[start + j]) for start in range(max(1, len(ids))))
                 assert abs(got[i, s * x.FILTERS + f] - max(best, 0)) < 1e-3
             at += span * x.FILTERS
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_isotonic_against_the_min_max_formula(seed):
+    """Every value is the largest over beginnings of the smallest mean over ends; pools are smoothed by half a row of either class, never downwards."""
+    r = np.random.default_rng(seed)
+    x = r.permutation(40).astype(float)
+    y = (r.random(40) < 0.2 + x / 60).astype(float)
+    order = np.argsort(x)
+    s = y[order]
+    fit = [max(min(s[a:b].mean() for b in range(i + 1, 41)) for a in range(i + 1)) for i in range(40)]
+    knots, values = quality.isotonic(x, y)
+    smooth = [(sum(pool) + 0.5) / (len(pool) + 1) for i in range(40) for pool in [[s[j] for j in range(40) if abs(fit[j] - fit[i]) < 1e-12]]]
+    assert np.allclose(np.interp(np.arange(40), knots, values), np.maximum.accumulate(smooth))
