@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, decontaminate, html_extract, imatch, neardup, quality, toxicity, url_reputation, warc
+from . import bpe, brown, decontaminate, html_extract, imatch, merkle, neardup, quality, toxicity, url_reputation, warc
 from ._common import remainder, tune
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -97,9 +97,21 @@ OP10_OUTCOMES = f"""SELECT page_id AS i, (quality = 0 OR toxic = 1)::INT AS bad
   FROM (SELECT page_id, nullif(regexp_extract(path, '{SHOWN}', 1), '')::BIGINT AS doc_id FROM parts) JOIN labels USING (doc_id)"""
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table audited against its own manifest, after n_chars of one row in seven has grown by 1."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0  # not so for a null id, which has no digits
+    grown = F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return merkle.audit(merkle.manifest(_table(spark, sf_dir, "documents"), {"n_chars": grown}))
+
+
+#: crc32 of the id's digits, bit by bit: -1 stands for a shift.
+OP13_TAMPERED = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for d in string_split(doc_id::VARCHAR, '')])),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) % 7 = 0"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_brown_lm, op2_decontaminate, op3_imatch, op4_order_minhash, op5_warc, op6_html_extract, op7_quality, op8_bpe, op9_toxicity, op10_url_reputation)}
+    return {f.__name__: f for f in (op1_brown_lm, op2_decontaminate, op3_imatch, op4_order_minhash, op5_warc, op6_html_extract, op7_quality, op8_bpe, op9_toxicity, op10_url_reputation, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_imatch": imatch.oracle(), "op5_warc": OP5_SQL, "op10_url_reputation": url_reputation.oracle(URL_RULES, OP10_OUTCOMES)}
+    return {"op3_imatch": imatch.oracle(), "op5_warc": OP5_SQL, "op10_url_reputation": url_reputation.oracle(URL_RULES, OP10_OUTCOMES), "op13_merkle": merkle.oracle(OP13_TAMPERED)}
