@@ -11,10 +11,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, decontaminate, html_extract, imatch, merkle, neardup, quality, toxicity, url_reputation, warc
+from . import bpe, brown, decontaminate, html_extract, imatch, merkle, neardup, packing, quality, toxicity, url_reputation, warc
 from ._common import remainder, tune
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+WORD_IDS = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +98,10 @@ OP10_OUTCOMES = f"""SELECT page_id AS i, (quality = 0 OR toxic = 1)::INT AS bad
   FROM (SELECT page_id, nullif(regexp_extract(path, '{SHOWN}', 1), '')::BIGINT AS doc_id FROM parts) JOIN labels USING (doc_id)"""
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_IDS))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table audited against its own manifest, after n_chars of one row in seven has grown by 1."""
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0  # not so for a null id, which has no digits
@@ -110,7 +115,7 @@ OP13_TAMPERED = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[as
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_brown_lm, op2_decontaminate, op3_imatch, op4_order_minhash, op5_warc, op6_html_extract, op7_quality, op8_bpe, op9_toxicity, op10_url_reputation, op13_merkle)}
+    return {f.__name__: f for f in (op1_brown_lm, op2_decontaminate, op3_imatch, op4_order_minhash, op5_warc, op6_html_extract, op7_quality, op8_bpe, op9_toxicity, op10_url_reputation, op12_packing, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
