@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, decontaminate, html_extract, imatch, merkle, neardup, packing, quality, toxicity, url_reputation, warc
+from . import bpe, brown, decontaminate, html_extract, imatch, merkle, neardup, packing, quality, search, toxicity, url_reputation, warc
 from ._common import remainder, tune
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -98,6 +98,10 @@ OP10_OUTCOMES = f"""SELECT page_id AS i, (quality = 0 OR toxic = 1)::INT AS bad
   FROM (SELECT page_id, nullif(regexp_extract(path, '{SHOWN}', 1), '')::BIGINT AS doc_id FROM parts) JOIN labels USING (doc_id)"""
 
 
+def op11_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_IDS))
 
@@ -115,8 +119,8 @@ OP13_TAMPERED = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[as
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_brown_lm, op2_decontaminate, op3_imatch, op4_order_minhash, op5_warc, op6_html_extract, op7_quality, op8_bpe, op9_toxicity, op10_url_reputation, op12_packing, op13_merkle)}
+    return {f.__name__: f for f in (op1_brown_lm, op2_decontaminate, op3_imatch, op4_order_minhash, op5_warc, op6_html_extract, op7_quality, op8_bpe, op9_toxicity, op10_url_reputation, op11_block_max_wand, op12_packing, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_imatch": imatch.oracle(), "op5_warc": OP5_SQL, "op10_url_reputation": url_reputation.oracle(URL_RULES, OP10_OUTCOMES), "op13_merkle": merkle.oracle(OP13_TAMPERED)}
+    return {"op3_imatch": imatch.oracle(), "op5_warc": OP5_SQL, "op10_url_reputation": url_reputation.oracle(URL_RULES, OP10_OUTCOMES), "op11_block_max_wand": search.oracle(), "op13_merkle": merkle.oracle(OP13_TAMPERED)}
