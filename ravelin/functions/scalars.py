@@ -28,12 +28,19 @@ def leave_one_out(total: Column, count: Column, own: Column) -> Column:
     return F.coalesce(F.try_divide(total - F.coalesce(own, F.lit(0.0)), left), F.lit(0.0))
 
 
-def pearson(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
-    """Pearson correlation from sums; 0 where it is undefined.
+def moments(x: Column, y: Column) -> list[Column]:
+    """Aggregates ``vx, vy, cov``: centred moments that are merged as means and deviations, so a large mean costs no digits.
 
-    The sums are scaled by n, not divided, so that integer and half-star
-    ratings are computed exactly and a constant side is recognised as such.
+    A constant side has a variance of exactly 0.
     """
-    vx, vy = n * sxx - sx * sx, n * syy - sy * sy
-    flat = (vx <= 1e-9 * F.abs(n * sxx)) | (vy <= 1e-9 * F.abs(n * syy))
-    return F.when((n < 2) | flat, F.lit(0.0)).otherwise(F.try_divide(n * sxy - sx * sy, F.sqrt(vx * vy)))
+    return [F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("cov")]
+
+
+def pearson(n: Column, vx: Column, vy: Column, cov: Column) -> Column:
+    """Pearson correlation from centred moments; 0 where it is undefined.
+
+    Twelve digits are kept: what merging leaves of a covariance of 0 must not
+    count as a weight.
+    """
+    defined = (n >= 2) & (vx > 0) & (vy > 0)
+    return F.when(defined, F.round(F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)), 12)).otherwise(F.lit(0.0))

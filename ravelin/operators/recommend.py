@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, leave_one_out, pearson
+from ..functions.scalars import clamp, leave_one_out, moments, pearson
 from ..sources.work import written
+from .skew import LIMIT, joined
 
 NEIGHBOURS = 10
 
@@ -28,12 +29,13 @@ def leave_one_out_means(ratings: DataFrame, by: str = "user_id") -> DataFrame:
     return ratings.join(sums, by).select("user_id", "item_id", leave_one_out(F.col("total"), F.col("n"), F.col("stars")).alias("others"))
 
 
-def correlations(ratings: DataFrame, wanted: DataFrame, who: str, what: str) -> DataFrame:
+def correlations(ratings: DataFrame, wanted: DataFrame, who: str, what: str, limit: int = LIMIT) -> DataFrame:
     """``x, y, n, w`` for the wanted pairs of ``who``, over the ``what`` that both rated; pairs with nothing in common are absent.
 
     The ratings in common are found in the cheaper of two ways, by their exact
     row counts: from each wanted pair through the ratings of x, or from each
-    ``what`` through the pairs of its raters.
+    ``what`` through the pairs of its raters.  A ``what`` that a large share has
+    rated, or an x in many pairs, is dealt into cells of ``limit`` rows.
     """
     wanted = written(wanted, "wanted")
     left = ratings.select(F.col(who).alias("x"), F.col(what).alias("k"), F.col("stars").alias("rx"))
@@ -43,11 +45,11 @@ def correlations(ratings: DataFrame, wanted: DataFrame, who: str, what: str) ->
     by_what = asked.groupBy("k").agg(F.count("*").alias("a")).join(right.groupBy("k").agg(F.count("*").alias("b")), "k")
     through_pairs, through_what = (df.agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0] or 0 for df in (by_pair, by_what))
     if through_what < through_pairs:
-        common = asked.join(right, "k").join(wanted, ["x", "y"], "left_semi")
+        common = joined(asked, right, ["k"], limit).join(wanted, ["x", "y"], "left_semi")
     else:
-        common = wanted.join(asked, "x").join(right, ["y", "k"])
-    s = common.groupBy("x", "y").agg(F.count("*").alias("n"), F.sum("rx").alias("sx"), F.sum("ry").alias("sy"), F.sum(F.col("rx") * F.col("rx")).alias("sxx"), F.sum(F.col("ry") * F.col("ry")).alias("syy"), F.sum(F.col("rx") * F.col("ry")).alias("sxy"))
-    return s.select("x", "y", "n", pearson(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]).alias("w"))
+        common = joined(wanted, asked, ["x"], limit).join(right, ["y", "k"])
+    s = common.groupBy("x", "y").agg(F.count("*").alias("n"), *moments(F.col("rx"), F.col("ry")))
+    return s.select("x", "y", "n", pearson(*[F.col(c) for c in ("n", "vx", "vy", "cov")]).alias("w"))
 
 
 def _means(ratings: DataFrame, by: str) -> DataFrame:
@@ -64,7 +66,7 @@ def _with_truth(test: DataFrame, predicted: DataFrame) -> DataFrame:
     return test.join(predicted, ["user_id", "item_id"]).select("user_id", "item_id", "stars", "prediction")
 
 
-def user_cf(train: DataFrame, test: DataFrame, k: int = NEIGHBOURS, exclude_self: bool = False) -> DataFrame:
+def user_cf(train: DataFrame, test: DataFrame, k: int = NEIGHBOURS, exclude_self: bool = False, limit: int = LIMIT) -> DataFrame:
     """Predict each test row from the users who rated the item: ``user_id, item_id, stars, prediction``.
 
     The user's mean (without the item) plus the weighted mean deviation of the k
@@ -73,11 +75,11 @@ def user_cf(train: DataFrame, test: DataFrame, k: int = NEIGHBOURS, exclude_self
     """
     asked = test.select("user_id", "item_id").distinct()
     raters = train.select(F.col("user_id").alias("y"), "item_id", F.col("stars").alias("ry"))
-    near = asked.join(raters, "item_id").withColumnRenamed("user_id", "x")
+    near = joined(asked, raters, ["item_id"], limit).withColumnRenamed("user_id", "x")
     if exclude_self:
         near = near.where("x != y")
     near = written(near, "near")
-    weights = correlations(train, near.select("x", "y").distinct(), "user_id", "item_id").select("x", "y", "w")
+    weights = correlations(train, near.select("x", "y").distinct(), "user_id", "item_id", limit).select("x", "y", "w")
     sums = _means(train, "user_id")
     near = near.join(weights, ["x", "y"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
     near = _ranked(near, ["x", "item_id"], k).join(sums.withColumnRenamed("user_id", "y"), "y")
@@ -91,7 +93,7 @@ def user_cf(train: DataFrame, test: DataFrame, k: int = NEIGHBOURS, exclude_self
     return _with_truth(test, out.select("user_id", "item_id", F.when(F.col("known") & F.col("total").isNotNull(), value).otherwise(0.0).alias("prediction")))
 
 
-def item_cf(train: DataFrame, test: DataFrame, k: int = NEIGHBOURS, echo_label: bool = False) -> DataFrame:
+def item_cf(train: DataFrame, test: DataFrame, k: int = NEIGHBOURS, echo_label: bool = False, limit: int = LIMIT) -> DataFrame:
     """Predict each test row from the items that the user rated: ``user_id, item_id, stars, prediction``.
 
     The weighted mean of the user's ratings of the k most correlated items,
@@ -103,8 +105,8 @@ def item_cf(train: DataFrame, test: DataFrame, k: int = NEIGHBOURS, echo_label:
     rated = train.select("user_id", F.col("item_id").alias("y"), F.col("stars").alias("ry"))
     own = train.select("user_id", "item_id", F.col("stars").alias("own"))
     new = asked.join(own, ["user_id", "item_id"], "left_anti")
-    near = written(new.join(rated, "user_id").withColumnRenamed("item_id", "x"), "near")
-    weights = correlations(train, near.select("x", "y").distinct(), "item_id", "user_id").select("x", "y", "w")
+    near = written(joined(new, rated, ["user_id"], limit).withColumnRenamed("item_id", "x"), "near")
+    weights = correlations(train, near.select("x", "y").distinct(), "item_id", "user_id", limit).select("x", "y", "w")
     near = near.join(weights, ["x", "y"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
     near = _ranked(near, ["user_id", "x"], k)
     mixed = near.groupBy("user_id", "x").agg(F.sum(F.col("ry") * F.col("w")).alias("up"), F.sum(F.abs("w")).alias("down")).withColumnRenamed("x", "item_id")
@@ -114,9 +116,8 @@ def item_cf(train: DataFrame, test: DataFrame, k: int = NEIGHBOURS, echo_label:
     mean = F.coalesce(F.try_divide("total", "n"), F.lit(0.0))
     value = clamp(F.coalesce(F.try_divide("up", F.nullif("down", F.lit(0.0))), mean), 0.0, 5.0)
     found = out.select("user_id", "item_id", "own", F.when(F.col("known"), value).otherwise(0.0).alias("p"))
-    joined = test.join(found, ["user_id", "item_id"])
     seen = F.col("stars") if echo_label else F.col("own")
-    return joined.select("user_id", "item_id", "stars", F.when(F.col("own").isNotNull(), seen).otherwise(F.col("p")).alias("prediction"))
+    return test.join(found, ["user_id", "item_id"]).select("user_id", "item_id", "stars", F.when(F.col("own").isNotNull(), seen).otherwise(F.col("p")).alias("prediction"))
 
 
 def als(train: DataFrame, test: DataFrame, rank: int = 7, iterations: int = 10, penalty: float = 0.01, seed: int = 7, partitions: int = 8) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.minhash import BANDS, HASHES, bands, signature
 from ..sources.work import written
+from .skew import LIMIT, joined, pairs
 
 
 def dictionary(values: DataFrame, column: str, parts: int = 64) -> DataFrame:
@@ -32,14 +33,14 @@ def dictionary(values: DataFrame, column: str, parts: int = 64) -> DataFrame:
     return ranked.select(column, (own + offset - 1).cast("long").alias("idx"))
 
 
-def members(pairs: DataFrame) -> DataFrame:
+def members(rows: DataFrame) -> DataFrame:
     """Distinct ``business_id, user_id``."""
-    return pairs.select("business_id", "user_id").where("business_id IS NOT NULL AND user_id IS NOT NULL").distinct()
+    return rows.select("business_id", "user_id").where("business_id IS NOT NULL AND user_id IS NOT NULL").distinct()
 
 
-def signatures(pairs: DataFrame, hashes=HASHES) -> DataFrame:
+def signatures(rows: DataFrame, hashes=HASHES) -> DataFrame:
     """``business_id, signature``: minima of the hashes over the numbers of a business's users, modulo the number of users."""
-    rows = written(members(pairs), "members")
+    rows = written(members(rows), "members")
     users = dictionary(rows, "user_id")
     m = max(1, users.count())
     return rows.join(users, "user_id").groupBy("business_id").agg(signature(F.col("idx"), m, hashes).alias("signature"))
@@ -50,26 +51,26 @@ def buckets(sigs: DataFrame, n_bands: int = BANDS, rows: int | None = None, hash
     return sigs.select("business_id", F.explode(bands(F.col("signature"), n_bands, rows, hashes)).alias("x")).select("x.band", "x.band_key", "business_id")
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """Distinct ``business_id_1 < business_id_2`` that share a bucket."""
-    a = found.select("band", "band_key", F.col("business_id").alias("business_id_1"))
-    b = found.select("band", "band_key", F.col("business_id").alias("business_id_2"))
-    return a.join(b, ["band", "band_key"]).where("business_id_1 < business_id_2").select("business_id_1", "business_id_2").distinct()
+def candidates(found: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Distinct ``business_id_1 < business_id_2`` that share a bucket; the pairs of a large bucket are made by many tasks."""
+    met = pairs(found, ["band", "band_key"], "business_id", limit)
+    return met.select(F.col("a").alias("business_id_1"), F.col("b").alias("business_id_2")).distinct()
 
 
-def jaccard(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+def jaccard(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``business_id_1, business_id_2, similarity`` of the wanted pairs."""
-    rows = written(members(pairs), "members")
+    rows = written(members(rows), "members")
     sizes = rows.groupBy("business_id").agg(F.count("*").alias("n"))
     one = rows.select(F.col("business_id").alias("business_id_1"), "user_id")
     two = rows.select(F.col("business_id").alias("business_id_2"), "user_id")
-    both = wanted.join(one, "business_id_1").join(two, ["business_id_2", "user_id"]).groupBy("business_id_1", "business_id_2").agg(F.count("*").alias("common"))
+    # a set may be in many pairs, and an element in many sets
+    both = joined(wanted, one, ["business_id_1"]).join(two, ["business_id_2", "user_id"]).groupBy("business_id_1", "business_id_2").agg(F.count("*").alias("common"))
     out = wanted.join(both, ["business_id_1", "business_id_2"], "left").join(sizes.select(F.col("business_id").alias("business_id_1"), F.col("n").alias("n1")), "business_id_1").join(sizes.select(F.col("business_id").alias("business_id_2"), F.col("n").alias("n2")), "business_id_2")
     common = F.coalesce("common", F.lit(0))
     return out.select("business_id_1", "business_id_2", (common / (F.col("n1") + F.col("n2") - common)).alias("similarity"))
 
 
-def similar(pairs: DataFrame, threshold: float = 0.5, n_bands: int = BANDS, rows: int | None = None, hashes=HASHES) -> DataFrame:
+def similar(rows: DataFrame, threshold: float = 0.5, n_bands: int = BANDS, band_rows: int | None = None, hashes=HASHES) -> DataFrame:
     """Candidate pairs with Jaccard similarity of at least the threshold, in order of their ids."""
-    wanted = candidates(buckets(signatures(pairs, hashes), n_bands, rows, len(hashes)))
-    return jaccard(pairs, wanted).where(F.col("similarity") >= threshold).orderBy("business_id_1", "business_id_2")
+    wanted = candidates(buckets(signatures(rows, hashes), n_bands, band_rows, len(hashes)))
+    return jaccard(rows, wanted).where(F.col("similarity") >= threshold).orderBy("business_id_1", "business_id_2")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.minhash import BANDS, HASHES
-from ..operators import explore, itemsets, layout, recommend, similarity
+from ..operators import explore, itemsets, layout, recommend, similarity, skew
 from ..sources import files
 from ..sources import star_schema as tables
 from ..sources.work import work_path, written
@@ -452,7 +452,7 @@ def _weights_sql(who: str, what: str) -> str:
     """Pearson of the wanted pairs (view wanted: x, y) over the training ratings, from sums scaled by n, which are exact for integer stars."""
     return f"""common AS (SELECT x, y, a.stars AS rx, b.stars AS ry FROM wanted JOIN train a ON a.{who} = x JOIN train b ON b.{who} = y AND a.{what} = b.{what}),
   sums AS (SELECT x, y, count(*) AS n, count(*) * sum(rx * ry) - sum(rx) * sum(ry) AS c, count(*) * sum(rx * rx) - sum(rx) * sum(rx) AS vx, count(*) * sum(ry * ry) - sum(ry) * sum(ry) AS vy FROM common GROUP BY x, y),
-  weights AS (SELECT x, y, n, CASE WHEN n < 2 OR vx <= 0 OR vy <= 0 THEN 0 ELSE c / sqrt(vx * vy) END AS w FROM sums)"""
+  weights AS (SELECT x, y, n, CASE WHEN n < 2 OR vx <= 0 OR vy <= 0 THEN 0 ELSE round(c / sqrt(vx * vy), 12) END AS w FROM sums)"""
 
 
 USER_NEAR = "near AS (SELECT t.user_id AS x, t.item_id, r.user_id AS y, r.stars AS ry FROM test t JOIN train r ON r.item_id = t.item_id), wanted AS (SELECT DISTINCT x, y FROM near)"
@@ -475,13 +475,15 @@ ITEM_CF = f"""WITH {REVIEWS}, {SPLIT}, {ITEM_NEAR}, {_weights_sql("item_id", "us
     FROM test t LEFT JOIN train o ON o.user_id = t.user_id AND o.item_id = t.item_id LEFT JOIN means a ON a.item_id = t.item_id LEFT JOIN mixed m ON m.user_id = t.user_id AND m.item_id = t.item_id)"""
 
 
+def _correlated(train: DataFrame, who: str, what: str) -> DataFrame:
+    wanted = skew.pairs(train, [what], who).select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
+    return recommend.correlations(train, wanted, who, what).select("x", "y", "n", (F.round("w", 6) + 0.0).alias("w"))
+
+
 def _pearson(spark, d, who: str, what: str) -> DataFrame:
     """Correlations of all pairs that have a rating in common, each once."""
     train = recommend.last_ratings(tables.rated(spark, d), ["order_id", "line"])
-    a = train.select(F.col(what).alias("k"), F.col(who).alias("x"))
-    b = train.select(F.col(what).alias("k"), F.col(who).alias("y"))
-    wanted = a.join(b, "k").where("x < y").select("x", "y").distinct()
-    return recommend.correlations(train, wanted, who, what).select("x", "y", "n", F.round("w", 6).alias("w"))
+    return _correlated(train, who, what)
 
 
 def _pearson_sql(who: str, what: str) -> str:
@@ -498,6 +500,21 @@ def pearson_items(spark, d):
     return _pearson(spark, d, "item_id", "user_id")
 
 
+#: Discounts beside a price of a hundred thousand: sums of squares would lose them.
+PRICED = """priced AS (SELECT user_id, p_brand AS item_id, 1e5 + l_discount AS stars, row_number() OVER (PARTITION BY user_id, p_brand ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_discount DESC) AS r
+  FROM (SELECT *, CAST(o_custkey AS VARCHAR) AS user_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey) JOIN part ON l_partkey = p_partkey),
+  train AS (SELECT user_id, item_id, stars FROM priced WHERE r = 1)"""
+
+
+@query(f"""WITH {PRICED}, common AS (SELECT a.item_id AS x, b.item_id AS y, a.stars AS rx, b.stars AS ry FROM train a JOIN train b ON a.user_id = b.user_id AND a.item_id < b.item_id),
+  means AS (SELECT x, y, count(*) AS n, avg(rx - 1e5) + 1e5 AS mx, avg(ry - 1e5) + 1e5 AS my FROM common GROUP BY x, y),
+  sums AS (SELECT x, y, n, sum((rx - mx) * (ry - my)) AS c, sum((rx - mx) ** 2) AS vx, sum((ry - my) ** 2) AS vy FROM common JOIN means USING (x, y) GROUP BY x, y, n)
+  SELECT x, y, n, round(CASE WHEN n < 2 OR vx <= 0 OR vy <= 0 THEN 0 ELSE c / sqrt(vx * vy) END, 6) + 0.0 AS w FROM sums""")
+def pearson_prices(spark, d):
+    """Correlations of values with a large mean and a small spread."""
+    return _correlated(recommend.last_ratings(tables.priced(spark, d), ["order_id", "line", "part_id"]), "item_id", "user_id")
+
+
 def _shown(predictions: DataFrame) -> DataFrame:
     return predictions.withColumn("prediction", F.round("prediction", 6))
 

@@ -71,3 +71,12 @@ def brand_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``user_id, item_id, stars`` with the order of writing, repeated pairs included."""
     return reviews(spark, sf_dir).withColumnRenamed("business_id", "item_id")
+
+
+def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``user_id, item_id, stars`` with the order of writing: customer, brand, and a discount beside a price of a hundred thousand."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select(F.col("o_custkey").cast("string").alias("user_id"), F.col("p_brand").alias("item_id"), (F.lit(1e5) + F.col("l_discount")).alias("stars"), F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part_id"))
