@@ -1,18 +1,29 @@
-"""Frequent itemsets by level-wise candidates with absolute, inclusive support.
-
-Baskets are kept as distinct (basket, item) rows.  Level k holds the occurrences
-of its frequent sets in baskets; two occurrences in one basket that agree in all
-but the last item make one of the next level.  So supports come from joins on
-(basket, beginning) and combining counts, and no basket meets every candidate.
+"""Frequent itemsets with absolute, inclusive support: level by level, in two passes, and by FP-growth.
+
+Baskets are kept as distinct (basket, item) rows.  Supports are counted on
+vertical bitmaps: baskets are numbered, and every frequent item has one bit for
+each basket of a range.  The bitmaps of one range lie in one partition, so a
+candidate is counted range by range where its items' bitmaps are, by their
+conjunction; only counts are exchanged.  No basket meets every candidate, and no
+occurrence of a set is written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.work import written
 
+#: Baskets of a range: the bits of a bitmap of ``bitmap_construct_agg``.
+RANGE_BITS = 15
+#: Baskets of a part in ``son``, and the least share of the support in a part.
+PART_BASKETS, LEAST_LOCAL = 100_000, 8
+
+
 def baskets(pairs: DataFrame, case: int = 1, larger_than: int | None = None) -> DataFrame:
     """Distinct ``basket, item``: by user in case 1, else by business; optionally only baskets of more items than a threshold."""
     a, b = ("user_id", "business_id") if case == 1 else ("business_id", "user_id")
@@ -44,6 +55,29 @@ def _candidates(frequent: DataFrame, k: int) -> DataFrame:
     return made
 
 
+def item_sets(rows: DataFrame) -> DataFrame:
+    """``items`` of each basket, in the shared folder."""
+    return written(rows.groupBy("basket").agg(F.collect_set("item").alias("items")).select("items"), "sets")
+
+
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """``range, item, bits``: which baskets of a range hold the item.
+
+    Baskets are numbered as they lie in the files of the written table, so a task
+    that runs again gives the same numbers; a range belongs to one task.
+    """
+    numbered = sets.select("items", F.monotonically_increasing_id().alias("n")).select(F.explode("items").alias("item"), "n")
+    held = numbered.groupBy(F.shiftright("n", RANGE_BITS).alias("range"), "item").agg(F.bitmap_construct_agg(F.col("n").bitwiseAND(F.lit((1 << RANGE_BITS) - 1))).alias("bits"))
+    return written(held, "bitmaps")
+
+
+def supports(candidates: DataFrame, maps: DataFrame) -> DataFrame:
+    """``items, support`` of the candidates (``items``: distinct arrays) that some basket holds."""
+    parts = candidates.select("items", F.explode("items").alias("item"))
+    met = maps.repartition("range").join(parts, "item").groupBy("range", "items").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("n")).where(F.col("n") == F.size("items"))
+    return met.groupBy("items").agg(F.sum(F.bitmap_count("bits")).alias("support")).where("support > 0")
+
+
 def levels(rows: DataFrame, support: int, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidates, frequent): ``k, items, support`` over all levels; candidates no basket holds have support 0.
 
@@ -53,22 +87,70 @@ def levels(rows: DataFrame, support: int, most: int | None = None) -> tuple[Data
         raise ValueError("support must be at least 1")
     first = written(rows.groupBy("item").agg(F.count("*").alias("support")).select(F.lit(1).alias("k"), F.array("item").alias("items"), "support"), "level")
     frequent = first.where(F.col("support") >= support)
-    held = written(rows.join(frequent.select(F.col("items")[0].alias("item")), "item", "left_semi").select("basket", F.array("item").alias("items")), "held")
-    all_candidates, all_frequent, k = first, frequent, 1
+    all_candidates, all_frequent, k, maps = first, frequent, 1, None
     while (most is None or k < most) and len(frequent.limit(2).collect()) > 1:
         k += 1
-        candidates = _candidates(frequent, k)
-        a = held.select("basket", F.slice("items", 1, k - 2).alias("begin"), F.element_at("items", -1).alias("x"))
-        b = held.select("basket", F.slice("items", 1, k - 2).alias("begin"), F.element_at("items", -1).alias("y"))
-        met = written(a.join(b, ["basket", "begin"]).where("x < y").select("basket", F.concat("begin", F.array("x", "y")).alias("items")), "met")
-        counted = met.groupBy("items").agg(F.count("*").alias("support"))
+        if maps is None:
+            maps = bitmaps(item_sets(rows.join(frequent.select(F.col("items")[0].alias("item")), "item", "left_semi")))
+        candidates = written(_candidates(frequent, k), "candidates")
+        counted = supports(candidates, maps)
         level = written(candidates.join(counted, "items", "left").select(F.lit(k).alias("k"), "items", F.coalesce("support", F.lit(0)).alias("support")), "level")
         frequent = level.where(F.col("support") >= support)
-        held = written(met.join(frequent.select("items"), "items", "left_semi"), "held")
         all_candidates, all_frequent = all_candidates.unionByName(level), all_frequent.unionByName(frequent)
     return all_candidates, all_frequent
 
 
+def mined(baskets: list[list], least: int) -> Iterator[tuple]:
+    """The sets that at least so many of the baskets hold, level by level, as sorted tuples."""
+    bits: dict = {}
+    for n, items in enumerate(baskets):
+        for item in items:
+            bits[item] = bits.get(item, 0) | 1 << n
+    level = {(item,): held for item, held in sorted(bits.items()) if held.bit_count() >= least}
+    while level:
+        yield from level
+        following = {}
+        ordered = list(level)
+        for at, one in enumerate(ordered):
+            for two in ordered[at + 1 :]:
+                if two[:-1] != one[:-1]:
+                    break
+                held = level[one] & level[two]
+                if held.bit_count() >= least:
+                    following[(*one, two[-1])] = held
+        level = following
+
+
+def son(rows: DataFrame, support: int, parts: int | None = None) -> DataFrame:
+    """The frequent sets in two passes over the baskets, however large they are: ``k, items, support``.
+
+    First each part of the baskets is mined by itself at its share of the
+    support: a set with that support in all has its share in some part, so the
+    union of what the parts find misses none.  Then the union is counted exactly.
+    By default a part holds up to PART_BASKETS baskets.  A part's share of the
+    support must not fall below LEAST_LOCAL (a share of 1 would let every subset of
+    every basket through): sets as rare as that are for ``levels``.
+    """
+    if support < 1:
+        raise ValueError("support must be at least 1")
+    sets = item_sets(rows)
+    maps, n = bitmaps(sets), sets.count()
+    if not parts:
+        parts = max(1, -(-n // PART_BASKETS))
+        if parts > 1 and support < LEAST_LOCAL * parts:
+            raise ValueError(f"support must be at least {LEAST_LOCAL} in each of {parts} parts of the baskets; use levels")
+
+    def local(part: pd.DataFrame) -> pd.DataFrame:
+        least = -(-support * len(part) // n)
+        return pd.DataFrame({"items": [list(items) for items in mined(part["items"].tolist(), least)]}, columns=["items"])
+
+    kind = sets.schema["items"].dataType
+    # dealt by a running number: parts are even whatever the baskets are
+    dealt = sets.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)))
+    found = written(dealt.groupBy("part").applyInPandas(local, f"items {kind.simpleString()}").distinct(), "local")
+    return supports(found, maps).where(F.col("support") >= support).select(F.size("items").alias("k"), "items", "support")
+
+
 def frequent_by_fpgrowth(rows: DataFrame, support: int) -> DataFrame:
     """The same frequent sets by FP-growth: ``k, items, support``.
 

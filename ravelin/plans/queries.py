@@ -289,6 +289,13 @@ def frequent_all_levels(spark, d):
     return found.select("k", F.array_join("items", ",").alias("items"), "support")
 
 
+@query(_all_levels_sql(True))
+def frequent_son(spark, d):
+    """The same sets in two passes."""
+    rows = itemsets.baskets(tables.type_orders(spark, d), 2)
+    return itemsets.son(rows, _support(rows, TYPE_SHARE)).select("k", F.array_join("items", ",").alias("items"), "support")
+
+
 @query(f"WITH {BASKETS}, {LEAST}, {THREE.replace('found AS', 'three AS')}, s4 AS (SELECT w.item || ',' || x.item || ',' || y.item || ',' || z.item AS items, count(*) AS n FROM baskets w JOIN baskets x ON w.basket = x.basket AND w.item < x.item JOIN baskets y ON w.basket = y.basket AND x.item < y.item JOIN baskets z ON w.basket = z.basket AND y.item < z.item GROUP BY ALL), found AS (SELECT * FROM three UNION ALL SELECT 4, items, n FROM s4) SELECT k, items, n AS support FROM found, least WHERE n >= s")
 def frequent_fpgrowth(spark, d):
     rows = _brands(spark, d)
