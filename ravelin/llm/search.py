@@ -24,9 +24,9 @@ integer arithmetic.
   pivot's blocks: if the largest impacts of these cannot reach the score either,
   all go on behind the nearest end of a block, and what lies between is never
   decompressed.  Else the blocks are read and the document is scored.
-* The score needed is the k-th best so far.  One shard in FIRST answers before
-  the others, and its k-th best scores are where the others begin, which leaves
-  most of their blocks unread.  Nothing is approximate: a shard may leave out what
+* The score needed is the k-th best so far.  Shards answer in ROUNDS, and the
+  k-th best scores of the rounds before are where the next begins, which leaves
+  most of its blocks unread.  Nothing is approximate: a shard may leave out what
   cannot be among the k best, only.
 * A shard's postings go to one task together with the queries that have these
   terms; queries are dealt into blocks of up to QUERY_TERMS terms.
@@ -59,8 +59,8 @@ BLOCK = 128
 SHARD_TERMS, SHARD_DOCS = 4_000_000, 32_768
 #: Terms of the queries that a task answers at once.
 QUERY_TERMS = 200_000
-#: One shard in so many answers first.
-FIRST = 8
+#: Shards answer in rounds: those with a hash below these eighths, one round after the other.
+ROUNDS = (1, 4, 8)
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
@@ -339,9 +339,9 @@ def ranked(docs: DataFrame, queries: DataFrame, k: int = BEST, id_col: str = "do
     weights = written(rows.groupBy("term").agg(weight.alias("weight")), "weights")
     documents = built.where("term is null").withColumn("weight", F.lit(None).cast("long"))
 
-    def answered(first: bool, need: DataFrame | None) -> DataFrame:
-        mine = F.pmod(F.xxhash64("shard"), F.lit(FIRST)) == 0
-        mine = mine if first else ~mine
+    def answered(low: int, high: int, need: DataFrame | None) -> DataFrame:
+        eighth = F.pmod(F.xxhash64("shard"), F.lit(ROUNDS[-1]))
+        mine = (eighth >= low) & (eighth < high)
         own = each.withColumn("need", F.lit(1).cast("long")) if need is None else each.join(need, "query", "left").na.fill(1, ["need"])
         of_term = own.groupBy("block", "term").agg(F.collect_list(F.struct("query", "need")).alias("queries")).join(weights, "term")
         postings = rows.where(mine).join(of_term, "term").select("shard", "block", "term", "df", "entries", "postings", "weight", "queries")
@@ -351,10 +351,14 @@ def ranked(docs: DataFrame, queries: DataFrame, k: int = BEST, id_col: str = "do
         return written(groups.applyInPandas(_answers(k), "query long, doc_id long, score long"), "answers")
 
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
-    placed = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    some = answered(True, None)
-    least = placed(some).groupBy("query").agg(F.min("score").alias("need"), F.count("*").alias("n")).where(F.col("n") == k).select("query", "need")
-    found = placed(some.unionByName(answered(False, written(least, "needs"))))
+    found, need = None, None
+    for low, high in zip((0, *ROUNDS), ROUNDS):  # noqa: B905
+        new = answered(low, high, need)
+        found = new if found is None else found.unionByName(new)
+        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        if high < ROUNDS[-1]:
+            found = written(found.drop("rank"), "best")
+            need = found.groupBy("query").agg(F.min("score").alias("need"), F.count("*").alias("n")).where(F.col("n") == k).select("query", "need")
     return found.join(asked.select("query", "name"), "query").select(F.col("name").alias(query_id), "rank", "doc_id", "score")
 
 
