@@ -142,6 +142,14 @@ def rmse(predictions: DataFrame, truth: Column | str = "stars") -> DataFrame:
     return predictions.agg(F.sqrt(F.avg(error * error)).alias("rmse"))
 
 
+def rmse_of_means(train: DataFrame, test: DataFrame) -> DataFrame:
+    """One row ``n, global_rmse, user_rmse, item_rmse``: the errors of means as predictions, over test rows of known users and items."""
+    mean = lambda by: train.groupBy(by).agg(F.avg("stars").alias(f"{by}_mean"))
+    rows = test.join(mean("user_id"), "user_id").join(mean("item_id"), "item_id").join(train.agg(F.avg("stars").alias("global_mean")))
+    error = lambda c: F.sqrt(F.avg(F.pow(F.col("stars") - F.col(c), F.lit(2))))
+    return rows.agg(F.count("*").alias("n"), error("global_mean").alias("global_rmse"), error("user_id_mean").alias("user_rmse"), error("item_id_mean").alias("item_rmse"))
+
+
 def predict(case: int, train: DataFrame, test: DataFrame) -> DataFrame:
     """Case 1 and 4: ALS; 2: user neighbours; 3: item neighbours."""
     methods = {1: als, 2: user_cf, 3: item_cf, 4: als}

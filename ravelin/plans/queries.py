@@ -82,11 +82,25 @@ def business_counts(spark, d):
     return explore.counts(tables.reviews(spark, d), "business_id")
 
 
-@query(f"WITH {REVIEWS} SELECT layout, 8 AS n_partition, count(DISTINCT business_id) AS n_items FROM reviews, (VALUES ('hash'), ('range')) t(layout) GROUP BY layout")
+#: crc32 of a text of ASCII characters, bit by bit: -1 stands for a shift.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(business_id, '')])),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295)"""
+PARTS = 8
+
+
+@query(f"""WITH {REVIEWS}, ids AS (SELECT DISTINCT business_id FROM reviews), placed AS (SELECT ({CRC32} % {PARTS})::INT AS part FROM ids)
+  SELECT part::INT AS part, count(placed.part) AS n_items FROM range({PARTS}) t(part) LEFT JOIN placed USING (part) GROUP BY ALL""")
 def partition_profile(spark, d):
-    """Where a key falls is Spark's own; each layout has all parts, empty ones too, and all items."""
-    parts = layout.partition_profile(explore.counts(tables.reviews(spark, d), "business_id"), 8)
-    return parts.groupBy("layout").agg(F.countDistinct("part").cast("int").alias("n_partition"), F.sum("n_items").alias("n_items"))
+    """Rows of each partition of the ranking dealt by its key."""
+    counts = explore.counts(tables.reviews(spark, d), "business_id")
+    return layout.partition_profile(counts, PARTS).where("layout = 'hash'").select("part", "n_items")
+
+
+@query(f"WITH {REVIEWS} SELECT {PARTS}::INT AS parts, count(DISTINCT business_id) AS n_items, 0::BIGINT AS overlaps FROM reviews")
+def partition_ranges(spark, d):
+    """Where ranges begin is Spark's own; all hold rows, and none begins before the one ahead of it ends."""
+    counts = explore.counts(tables.reviews(spark, d), "business_id")
+    return layout.range_order(layout.ranged(counts, PARTS), PARTS)
 
 
 @query(f"""WITH {REVIEWS}, u AS (SELECT user_id AS id, count(*) AS n FROM reviews GROUP BY 1 ORDER BY n DESC, id LIMIT 10), b AS (SELECT business_id AS id, count(*) AS n FROM reviews GROUP BY 1 ORDER BY n DESC, id LIMIT 10),
@@ -578,8 +592,18 @@ def als_predict(spark, d):
     return recommend.als(*_split(spark, d)).select("user_id", "item_id", "stars", F.col("prediction").between(1, 5).alias("in_range"))
 
 
-@query(f"WITH {REVIEWS}, {SPLIT} SELECT count(*) AS n, true AS within FROM test t WHERE user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM train)")
+#: Parts rated by the volume of a line, with its quantity as the user: something that factors can learn and means cannot.
+VOLUMES = """lines AS (SELECT CAST(l_quantity AS INT)::VARCHAR AS user_id, CAST(l_partkey AS VARCHAR) AS item_id, 1 + 4 * l_quantity * p_size / 2500 AS stars,
+    row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_quantity DESC) = 1 AS held FROM lineitem JOIN part ON l_partkey = p_partkey),
+  train AS (SELECT DISTINCT user_id, item_id, stars FROM lines WHERE NOT held), test AS (SELECT user_id, item_id, stars FROM lines WHERE held),
+  means AS (SELECT t.stars, (SELECT avg(stars) FROM train) AS g, u.m AS u, i.m AS i FROM test t JOIN (SELECT user_id, avg(stars) AS m FROM train GROUP BY 1) u USING (user_id) JOIN (SELECT item_id, avg(stars) AS m FROM train GROUP BY 1) i USING (item_id))"""
+
+
+@query(f"""WITH {VOLUMES} SELECT count(*) AS n, round(sqrt(avg((stars - g) ** 2)), 6) AS global_rmse, round(sqrt(avg((stars - u) ** 2)), 6) AS user_rmse, round(sqrt(avg((stars - i) ** 2)), 6) AS item_rmse, true AS learnt FROM means""")
 def als_rmse(spark, d):
-    """Rows that are predicted, and whether the error lies between 0 and the width of the scale."""
-    found = recommend.als(*_split(spark, d))
-    return found.agg(F.count("*").alias("n")).crossJoin(recommend.rmse(found).select(F.col("rmse").between(0, 4).alias("within")))
+    """The error of the factors must be below a quarter of that of the best of the global, the users' and the items' means."""
+    train, test = tables.volumes(spark, d)
+    train, test = written(train, "train"), written(test, "test")
+    learnt = recommend.rmse(recommend.als(train, test)).first().rmse
+    found = recommend.rmse_of_means(train, test)
+    return found.select("n", *[F.round(c, 6).alias(c) for c in ("global_rmse", "user_rmse", "item_rmse")], (F.lit(learnt) < F.least("global_rmse", "user_rmse", "item_rmse") / 4).alias("learnt"))

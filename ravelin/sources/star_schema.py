@@ -5,7 +5,7 @@ The whole tables are used: a line item is a review of its part by its customer.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 YEAR = "1998"
@@ -80,3 +80,13 @@ def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(F.col("o_custkey").cast("string").alias("user_id"), F.col("p_brand").alias("item_id"), (F.lit(1e5) + F.col("l_discount")).alias("stars"), F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part_id"))
+
+
+def volumes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(train, test) ``user_id, item_id, stars``: the volume of a line of a part, from 1 to 5, by its quantity; each part's last line is a test row."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    rows = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    last = F.row_number().over(Window.partitionBy("l_partkey").orderBy(F.desc("l_orderkey"), F.desc("l_linenumber"), F.desc("l_quantity")))
+    stars = 1 + 4 * F.col("l_quantity") * F.col("p_size") / 2500
+    found = rows.select(F.col("l_quantity").cast("int").cast("string").alias("user_id"), F.col("l_partkey").cast("string").alias("item_id"), stars.alias("stars"), last.alias("at"))
+    return found.where("at > 1").drop("at").distinct(), found.where("at = 1").drop("at")
