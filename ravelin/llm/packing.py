@@ -21,9 +21,8 @@ tokens or nothing, is packed with the remainders of other documents.
   task while the texts are tokenised, and shifted by the counts of the tasks
   before, so no length, however frequent, meets in one task.
 
-Words are tokenised by the library once for each task and remembered; a chunk
-between ASCII blanks is tokenised by itself, as no token of this tokenizer spans
-a blank.  No text is cut.
+Words are tokenised by the library once for each task and remembered (``Tokens``).
+No text is cut.
 
 Defined results: a null text counts as empty and has END alone; rows repeated
 under one id are packed each for itself; a null id is carried along; an empty
@@ -32,8 +31,12 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import os
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
+from unicodedata import category
 from zlib import crc32
 
 import numpy as np
@@ -48,64 +51,120 @@ from ._common import tune, written
 
 CAPACITY = 4096
 END = 2
-#: So many different chunks and ids are remembered at most, of chunks up to so many bytes.
-REMEMBERED, MOST_IDS, LONGEST = 400_000, 8_000_000, 64
+#: So many different pieces or ids are remembered at most.
+REMEMBERED, MOST_IDS = 600_000, 8_000_000
+#: The tokenizer's pieces, of letters, digits and others.
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\t-\r \x85\xa0{letters}{digits}]+"
 
 
 # -- tokens
 
 
+def pieces_of(last: int):
+    """Finds the pieces of a lower-case text of characters up to ``last``."""
+    kinds = {c: category(c)[0] for c in map(chr, range(last + 1))}
+    letters, digits = ("".join(re.escape(c) for c, kind in kinds.items() if kind == k) for k in "LN")
+    return re.compile(PIECES.format(letters=letters, digits=digits)).findall
+
+
+class Numbers(dict):
+    """Numbers of keys from 0, in the order in which they are first asked for; the new ones are listed."""
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
 class Tokens:
-    """Ids of texts, through a memory of chunks."""
+    """Ids of texts, through a memory of pieces.
 
-    def __init__(self, path: str):
-        import os
+    A text of Latin letters (up to U+017F, where normal forms and classes of
+    characters hold no surprise) is lower-cased and parted into the tokenizer's
+    pieces here; new pieces are encoded together, and the ids that end a word tell
+    them apart.  Of any other text, and of one that holds a special token, chunks
+    between ASCII blanks are encoded by themselves: no token spans a blank.
+    """
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, int] = {}
-        self.flat, self.end = np.empty(1 << 16, np.int32), 0
-        self.starts, self.sizes = [], []
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        for chunk, got in zip(chunks, self.tokenizer.encode_batch([c.decode(errors="replace") for c in chunks], add_special_tokens=False), strict=True):
-            ids = got.ids
-            if self.end + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.int32)])
-            self.flat[self.end : self.end + len(ids)] = ids
-            self.known[chunk] = len(self.starts)
-            self.starts.append(self.end)
-            self.sizes.append(len(ids))
-            self.end += len(ids)
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ascii, self.latin = pieces_of(0x7F), pieces_of(0x17F)
+        self.beyond = re.compile("[^\\x00-\u017f]").search
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = Numbers()
+        self.flat, self.starts, self.sizes = np.empty(1 << 20, np.int32), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.end = 0
+
+    def _parts(self, text: str) -> list:
+        """What is remembered of a text, in its order: pieces (str) or chunks (bytes)."""
+        if any(t in text for t in self.special) or not text.isascii() and self.beyond(text):
+            return text.encode().split()
+        return (self.ascii if text.isascii() else self.latin)(text.lower())
+
+    def _learn(self) -> None:
+        """Ids of what is new, under their numbers."""
+        new, self.known.new = self.known.new, []
+        pieces = [x for x in new if isinstance(x, str)]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids if pieces else [], np.int32)
+        sizes = np.empty(len(new), np.int64)
+        of_piece = np.fromiter((isinstance(x, str) for x in new), bool, len(new))
+        sizes[of_piece] = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        starts = np.empty(len(new), np.int64)
+        starts[of_piece] = np.cumsum(sizes[of_piece]) - sizes[of_piece]
+        if not of_piece.all():
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in new if isinstance(x, bytes)], add_special_tokens=False)]
+            sizes[~of_piece] = [len(g) for g in got]
+            starts[~of_piece] = len(ids) + np.cumsum(sizes[~of_piece]) - sizes[~of_piece]
+            ids = np.concatenate([ids, np.array([i for g in got for i in g], np.int32)])
+        n = len(self.known) - len(new)
+        while self.end + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while len(self.known) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.sizes))
+        self.flat[self.end : self.end + len(ids)] = ids
+        self.starts[n : len(self.known)] = starts + self.end
+        self.sizes[n : len(self.known)] = sizes
+        self.end += len(ids)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, END added."""
         if len(self.known) > REMEMBERED or self.end > MOST_IDS:
-            self.known.clear()
-            self.starts.clear()
-            self.sizes.clear()
-            self.end = 0
-        split = [t.split() for t in texts]
-        new = {c for chunks in split for c in chunks if c not in self.known}
-        if new:
-            self._learn(sorted(new))
-        starts, sizes = np.asarray(self.starts, np.int64), np.asarray(self.sizes, np.int64)
+            self._forget()
+        found = []
+        for text in texts:
+            parts = self._parts(text)
+            found.append(np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts)))
+        if self.known.new:
+            self._learn()
         out = []
-        for chunks in split:
-            at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-            n = sizes[at]
+        for at in found:
+            n = self.sizes[at]
             ids = np.empty(int(n.sum()) + 1, np.int32)
             ends = np.cumsum(n)
-            ids[:-1] = self.flat[np.arange(len(ids) - 1) + np.repeat(starts[at] - ends + n, n)]
+            ids[:-1] = self.flat[np.arange(len(ids) - 1) + np.repeat(self.starts[at] - ends + n, n)]
             ids[-1] = END
             out.append(ids)
-        for c in [c for c in new if len(c) > LONGEST]:
-            del self.known[c]
         return out
 
 
+@cache
+def tokens(path: str) -> Tokens:
+    """One memory for all tasks of a worker."""
+    return Tokens(path)
+
+
 # -- the plan
 
 
@@ -222,10 +281,10 @@ def _tokenised(path: str, kind: pa.DataType, capacity: int):
     shape = pa.schema([("doc_id", kind), ("ids", pa.list_(pa.int32())), ("part", pa.int32()), ("length", pa.int32()), ("number", pa.int64()), ("windows", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part = Tokens(path), TaskContext.get().partitionId()
+        own, part = tokens(path), TaskContext.get().partitionId()
         seen, windows = [0] * capacity, 0
         for batch in batches:
-            ids = tokens.encode(batch.column(1).to_pylist())
+            ids = own.encode([t.decode(errors="replace") for t in batch.column(1).to_pylist()])
             lengths, numbers, before = [], [], []
             for i in ids:
                 full, rest = divmod(len(i), capacity)
