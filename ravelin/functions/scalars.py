@@ -31,9 +31,10 @@ def leave_one_out(total: Column, count: Column, own: Column) -> Column:
 def moments(x: Column, y: Column) -> list[Column]:
     """Aggregates ``vx, vy, cov``: centred moments that are merged as means and deviations, so a large mean costs no digits.
 
-    A constant side has a variance of exactly 0.
+    A constant side has a variance of exactly 0, whatever merging leaves.
     """
-    return [F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("cov")]
+    spread = lambda v: F.when(F.min(v) < F.max(v), F.var_pop(v)).otherwise(0.0)
+    return [spread(x).alias("vx"), spread(y).alias("vy"), F.covar_pop(x, y).alias("cov")]
 
 
 def pearson(n: Column, vx: Column, vy: Column, cov: Column) -> Column:

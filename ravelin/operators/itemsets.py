@@ -142,7 +142,7 @@ def son(rows: DataFrame, support: int, parts: int | None = None) -> DataFrame:
 
     def local(part: pd.DataFrame) -> pd.DataFrame:
         least = -(-support * len(part) // n)
-        return pd.DataFrame({"items": [list(items) for items in mined(part["items"].tolist(), least)]}, columns=["items"])
+        return pd.DataFrame({"items": pd.Series([list(items) for items in mined(part["items"].tolist(), least)], dtype=object)})
 
     kind = sets.schema["items"].dataType
     # dealt by a running number: parts are even whatever the baskets are

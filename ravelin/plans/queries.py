@@ -303,6 +303,27 @@ def frequent_all_levels(spark, d):
     return found.select("k", F.array_join("items", ",").alias("items"), "support")
 
 
+def _report_sql() -> str:
+    """The lines of the report over all levels of the part-type baskets: candidates are the sets all of whose parts are frequent."""
+    counted = _all_levels_sql(True).split("SELECT k, array_to_string")[0]
+    return f"""{counted}, found AS (SELECT k, items, n >= s AS f FROM counted, least),
+    wanted AS (SELECT k, items, f, k = 1 OR NOT EXISTS (SELECT 1 FROM (SELECT unnest(items) AS i) WHERE list_filter(items, lambda x: x <> i) NOT IN (SELECT items FROM found WHERE f)) AS c FROM found),
+    shown AS (SELECT k, items, f, '(' || array_to_string(list_transform(items, lambda x: chr(39) || x || chr(39)), ', ') || ')' AS t FROM wanted WHERE c),
+    pieces AS (SELECT 1 AS section, 0 AS k, 'Candidates:' AS text UNION ALL SELECT 1, k, string_agg(t, ',' ORDER BY items) FROM shown GROUP BY k
+      UNION ALL SELECT 2, 0, 'Frequent Itemsets:' UNION ALL SELECT 2, k, string_agg(t, ',' ORDER BY items) FROM shown WHERE f GROUP BY k)
+    SELECT row_number() OVER (ORDER BY section, k)::INT AS line, text FROM pieces"""
+
+
+@query(_report_sql())
+def itemset_report(spark, d):
+    """The lines of the written report over all levels, blank ones left out."""
+    rows = itemsets.baskets(tables.type_orders(spark, d), 2)
+    path = work_path(spark, "report").removeprefix("file://")
+    files.write_itemset_report(*itemsets.levels(rows, _support(rows, TYPE_SHARE)), path)
+    lines = spark.read.text(path).where("value != ''").withColumn("at", F.monotonically_increasing_id())
+    return lines.select(F.row_number().over(Window.orderBy("at")).alias("line"), F.col("value").alias("text"))  # two lines a level
+
+
 @query(_all_levels_sql(True))
 def frequent_son(spark, d):
     """The same sets in two passes."""
@@ -396,6 +417,21 @@ def read_review_businesses_json(spark, d):
     return explore.counts(_read_back(spark, tables.reviews(spark, d), "json", files.review_businesses), "business_id")
 
 
+@query(f"WITH {REVIEWS} SELECT business_id, count(*) AS n FROM reviews GROUP BY business_id")
+def read_nested_json(spark, d):
+    """The first business of each line, at the top, in a list, or deep beside a text that looks like it."""
+    rows = tables.reviews(spark, d)
+    own, other = F.col("business_id"), F.lit("another").alias("business_id")
+    shapes = [
+        F.to_json(F.struct(own, F.struct(other).alias("more"))),
+        F.to_json(F.struct(F.struct("stars", F.array(F.struct(F.lit("business_id").alias("x"), own)).alias("at")).alias("review"), other)),
+        F.to_json(F.struct(F.lit('say "business_id": "no"').alias("text"), F.struct(F.struct(own).alias("y")).alias("z"))),
+    ]
+    path = work_path(spark, "nested")
+    rows.select(F.element_at(F.array(*shapes), (F.col("line") % 3 + 1).cast("int")).alias("value")).write.text(path)
+    return explore.counts(files.first_at_any_depth(spark, path), "business_id")
+
+
 @query(f"WITH {REVIEWS} SELECT business_id, CASE WHEN stars > 1 THEN stars END AS stars FROM reviews")
 def read_review_stars_json(spark, d):
     """Stars may be missing."""

@@ -1,6 +1,8 @@
 import json
+from zlib import crc32
 
 import pytest
+from pyspark.sql import functions as F
 from ravelin.operators import explore, layout
 from ravelin.sources import files
 
@@ -91,6 +93,27 @@ def test_csv_sources(spark, tmp_path):
     assert files.spread(files.pairs(spark, str(tmp_path / "p.csv"))).rdd.getNumPartitions() == 2
 
 
+def test_first_key_at_any_depth(spark, tmp_path):
+    """In document order, not in that of the keys; keys in texts and values do not count; escapes are read."""
+    lines = ['{"z": {"business_id": "b1"}, "business_id": "b2"}', '[{"a": "business_id"}, {"t": "\\\\", "u": "\\"business_id\\": 1", "business_id" : "b\\u00e93\\n"}]', '{"business_id": "b4", "rest": [{', '{"business_idx": 1, "x": {"y": [[], {"business_id": ""}]}}']
+    (tmp_path / "n.json").write_text("\n".join(lines) + "\n")
+    got = [r.business_id for r in files.first_at_any_depth(spark, str(tmp_path / "n.json")).collect()]
+    assert got == ["b1", "b\u00e93\n", "b4", ""]
+    for bad, what in [('{"a": 1}', "missing business_id"), ('{"business_id": 7}', "not a string"), ('{"business_id": {"business_id": "x"}}', "not a string"), ('{"business_id":', "not a string"), ("", "missing")]:
+        (tmp_path / "bad.json").write_text(bad + "\n")
+        with pytest.raises(Exception, match=what):
+            files.first_at_any_depth(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_rows_lie_where_their_key_says(spark):
+    """Every row in the partition that crc32 names, and ranges that overlap are counted."""
+    counts = spark.createDataFrame([(f"b{k}", k % 9) for k in range(200)] + [(None, 3)], "business_id string, n int")
+    got = layout.dealt(counts, 5, "business_id").select("business_id", F.spark_partition_id().alias("p")).collect()
+    assert {(r.business_id, r.p) for r in got} == {(f"b{k}", crc32(f"b{k}".encode()) % 5) for k in range(200)} | {(None, 0)}
+    assert rows(layout.range_order(layout.ranged(counts, 5), 5)) == [(5, 201, 0)]
+    assert layout.range_order(layout.dealt(counts, 5, "business_id"), 5).first().overlaps > 0
+
+
 def test_layouts(reviews):
     counts = explore.counts(reviews, "business_id")
     got = layout.partition_profile(counts, 3)

@@ -50,6 +50,52 @@ def test_report(pairs):
     assert text == "Candidates:\n\n('a'),('b'),('c'),('d')\n\n('a', 'b'),('a', 'c'),('b', 'c')\n\n('a', 'b', 'c')\n\nFrequent Itemsets:\n\n('a'),('b'),('c')\n\n('a', 'b'),('a', 'c'),('b', 'c')\n"
 
 
+def test_report_in_one_file(spark, pairs, tmp_path):
+    """Many tasks write one sorted file, and leave nothing beside it; a second report replaces the first."""
+    found = itemsets.levels(itemsets.baskets(pairs, 2), 2)
+    files.write_itemset_report(*itemsets.levels(itemsets.baskets(pairs), 2), str(tmp_path / "r.txt"))
+    files.write_itemset_report(*found, str(tmp_path / "r.txt"))
+    assert (tmp_path / "r.txt").read_text() == files.itemset_report(*found)
+    assert [p.name for p in tmp_path.iterdir()] == ["r.txt"]
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.sets(st.sampled_from("abcdef"), min_size=1), min_size=1, max_size=14), st.integers(1, 4), st.integers(1, 5))
+def test_two_passes_against_levels(spark, held, support, parts):
+    rows = spark.createDataFrame([(b, i) for b, s in enumerate(held) for i in sorted(s)], "basket long, item string")
+    assert sets(itemsets.son(rows, support, parts)) == sets(itemsets.levels(rows, support)[1])
+
+
+def test_two_passes_over_skewed_parts(spark):
+    """Sets that only one part of the baskets has, and sets that fall just short in every part."""
+    baskets = ["abc"] * 40 + ["de"] * 15 + ["ad", "be", "cf"] * 30 + ["f"] * 15
+    rows = spark.createDataFrame([(k, i) for k, b in enumerate(baskets) for i in b], "basket long, item string").coalesce(1)
+    for support in (15, 30, 31, 41):
+        expected = sets(itemsets.levels(rows, support)[1])
+        for parts in (1, 4, 9):
+            assert sets(itemsets.son(rows, support, parts)) == expected
+    assert sets(itemsets.son(rows.limit(0), 3)) == {}
+
+
+def test_two_passes_refuse_rare_sets(spark, monkeypatch):
+    monkeypatch.setattr(itemsets, "PART_BASKETS", 10)
+    rows = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(100)], "basket long, item string")
+    assert sets(itemsets.son(rows, 80)) == {} and ("a",) in sets(itemsets.son(rows, 80 - 30, 2))
+    with pytest.raises(ValueError, match="use levels"):
+        itemsets.son(rows, 79)
+
+
+def test_bitmaps_of_many_ranges(spark, monkeypatch):
+    """Baskets of many ranges, some without an item: counts are those of plain loops."""
+    monkeypatch.setattr(itemsets, "RANGE_BITS", 3)
+    held = [{"a"} if k < 16 else {"a", "b"} if k % 3 else {"b", "c", "a"} for k in range(70)]
+    rows = spark.createDataFrame([(b, i) for b, s in enumerate(held) for i in s], "basket long, item string")
+    maps = itemsets.bitmaps(itemsets.item_sets(rows))
+    wanted = [["a"], ["a", "b"], ["a", "b", "c"], ["a", "d"], ["b", "c"]]
+    got = sets(itemsets.supports(spark.createDataFrame([(w,) for w in wanted], "items array<string>"), maps))
+    assert got == {tuple(w): n for w in wanted if (n := sum(set(w) <= s for s in held))}
+
+
 def test_fpgrowth_agrees_and_support_is_checked(pairs):
     rows = itemsets.baskets(pairs)
     for s in (1, 2, 3):
