@@ -311,10 +311,16 @@ def _answers(k: int):
 # -- the job
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = [len(terms(t)) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([sum(map(bool, sizes))]), pa.array([sum(sizes)])], ["docs", "terms"])
+
+
 def totals(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """(documents with a term, terms of all documents)."""
-    n = F.coalesce(F.regexp_count(text_col, F.lit(TERM)), F.lit(0))
-    row = docs.select(n.cast("long").alias("n")).agg(F.count_if(F.col("n") > 0), F.sum("n")).first()
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    row = texts.mapInArrow(_counted, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
     return row[0] or 0, row[1] or 0
 
 
