@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import html as entities
+import itertools
 import re
 from collections.abc import Iterator
 from zlib import crc32
@@ -47,10 +48,12 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<(?:svg|template|noscript){_INSIDE}(?<=/)>"  # closed in itself
     rf"|<(?P<out>script|style){_INSIDE}>.*?(?:</(?P=out)\s*>|\Z)"
-    rf"|<(?P<gone>template|noscript|svg){_INSIDE}>(?:.*?</(?P=gone)\s*>)?"  # without an end: the tag alone
-    r"""|<[!?][^>]*+>|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<marks>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-z][^>]*+(?:>|\Z)""",
+    rf"|<(?P<gone>template|noscript|svg){_INSIDE}>"
+    r"""|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<marks>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-z][^>]*+(?:>|\Z)""",
     re.S | re.I,
 )
+#: The ends of elements that are left out whole; without an end the tag alone is.
+_GONE = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("template", "noscript", "svg")}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
 
@@ -59,15 +62,15 @@ PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 14, 4, 7, 14
 PAGES, EPOCHS = 3_000, 12
 #: Pages of more blocks are read so many at a time.
 CHUNK = 4_096
+#: The innermost elements of a block's path, and the names of an element, that count.
+DEPTH, NAMES = 32, 24
 
 
 @functools.lru_cache(8192)
 def _marks(tag: str, attributes: str) -> tuple[int, ...]:
     """Hashed tag, and class, id and role words, of an element."""
-    out = [crc32(tag.encode()) % PATHS]
-    for _, a, b, c in _ATTRIBUTE.findall(attributes):
-        out += [crc32(b"." + w.encode()) % PATHS for w in _NAME.findall((a or b or c).lower())]
-    return tuple(out)
+    names = (w for m in _ATTRIBUTE.finditer(attributes) for w in _NAME.findall((m[2] or m[3] or m[4] or "").lower()))
+    return (crc32(tag.encode()) % PATHS, *(crc32(b"." + w.encode()) % PATHS for w in itertools.islice(names, NAMES)))
 
 
 class Block:
@@ -78,9 +81,11 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page in order."""
+    """Leaf blocks of a page in order, in time linear in the page whatever its markup."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[int, ...]]] = []
+    opened: dict[str, int] = {}
+    endless: set[str] = set()
     parts: list[str] = []
     links, linked, at = 0, 0, 0
 
@@ -89,7 +94,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                path = tuple(m for _, marks in stack for m in marks)
+                path = tuple(m for _, marks in stack[-DEPTH:] for m in marks)
                 out.append(Block(text, path, stack[-1][1] if stack else (), min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
@@ -101,10 +106,21 @@ def blocks(page: str) -> list[Block]:
         if links:
             linked += len(text.strip())
 
-    for m in _TOKEN.finditer(page):
+    def leave() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
+        gone = (m["gone"] or "").lower()
+        if gone and gone not in endless:
+            if end := _GONE[gone].search(page, at):
+                at = end.end()
+            else:
+                endless.add(gone)
         tag = m["tag"]
         if tag is None:
             continue
@@ -114,8 +130,8 @@ def blocks(page: str) -> list[Block]:
                 links = max(0, links - 1)
             elif tag in BLOCK_TAGS:
                 close()
-                if any(t == tag for t, _ in stack):
-                    while stack.pop()[0] != tag:
+                if opened.get(tag):
+                    while leave() != tag:
                         pass
         elif tag == "br":
             parts.append(" ")
@@ -124,9 +140,10 @@ def blocks(page: str) -> list[Block]:
         elif tag in BLOCK_TAGS:
             close()
             while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
-                stack.pop()
+                leave()
             if tag not in VOID_TAGS:
                 stack.append((tag, _marks(tag, m["marks"])))
+                opened[tag] = opened.get(tag, 0) + 1
     if at < len(page):
         add(page[at:])
     close()

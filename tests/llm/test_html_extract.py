@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +101,20 @@ def test_icons_and_unclosed_elements():
     assert text("<p>a</p><svg-icon><p>b</p></svg-icon><template-card>c</template-card>") == ["a", "b", "c"]
     assert text("<p>a</p><svg><path d='x'><p>b</p>") == ["a", "b"]
     assert text("<p>a</p><svg><title>t</title></svg><p>b</p><script>x<y</p>") == ["a", "b"]
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<svg><p>x</p>" * 80_000, 80_000),
+    ("<template><noscript>a" * 50_000, 1),
+    ("<div>a" * 100_000, 100_000),
+    ("<div>" * 100_000 + "x" + "</p>" * 100_000, 1),
+    ("<!" * 500_000, 0),
+    ("<!-- a --><svg>" * 60_000 + "</svg>" + "y", 1),
+    ('<p class="' + "ab " * 300_000 + '">x<b>' * 3, 1),
+], ids=["svg", "template", "div", "unmatched", "declaration", "swallowed", "class"])
+def test_bad_markup_takes_linear_time(page, text):
+    """A megabyte of unclosed or deep elements is parsed in seconds."""
+    began = time.process_time()
+    found = h.blocks(page)
+    assert len(found) == text and time.process_time() - began < 5
+    assert max((len(b.path) for b in found), default=0) <= h.DEPTH * (h.NAMES + 1)
