@@ -44,6 +44,8 @@ def domain_pattern(suffixes: list[str] | None = None) -> str:
 
 
 DOMAIN = domain_pattern()
+#: What is no part of a name; names that are addresses.
+PORT, ADDRESS = "[.]*(?::[0-9]*)?$", "^(?:[0-9]+(?:[.][0-9]+){3}|\\[.*\\])$"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -55,11 +57,14 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def domain_of(host: Column, suffixes: list[str] | None = None) -> Column:
-    return F.regexp_extract(host, domain_pattern(suffixes), 1)
+    """The registered domain of a host, without port and closing dots; an address is a domain of its own."""
+    name = F.regexp_replace(host, PORT, "")
+    return F.when(name.rlike(ADDRESS), name).otherwise(F.regexp_extract(name, domain_pattern(suffixes), 1))
 
 
 def suffix_of(domain: Column) -> Column:
-    return F.when(F.instr(domain, ".") > 0, F.substring(domain, F.instr(domain, ".") + 1, F.length(domain))).otherwise("")
+    named = (F.instr(domain, ".") > 0) & ~domain.rlike(ADDRESS)
+    return F.when(named, F.substring(domain, F.instr(domain, ".") + 1, F.length(domain))).otherwise("")
 
 
 def _rank(rule: tuple[str, str, str]) -> tuple:
@@ -136,8 +141,9 @@ def oracle(rules: list[tuple[str, str, str]], outcomes_sql: str) -> str:
     parts AS (SELECT page_id, translate(h, '{_UPPER}', '{_LOWER}') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM raw),
     known AS (SELECT i, max(bad) AS bad FROM ({outcomes_sql}) WHERE i IS NOT NULL AND bad IS NOT NULL GROUP BY i),
     counted AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS b FROM (SELECT DISTINCT page_id, host FROM parts) LEFT JOIN known ON i = page_id GROUP BY host),
-    named AS (SELECT *, regexp_extract(host, '{DOMAIN}', 1) AS domain FROM counted),
-    hosts AS (SELECT *, CASE WHEN instr(domain, '.') > 0 THEN substr(domain, instr(domain, '.') + 1) ELSE '' END AS suffix FROM named),
+    bare AS (SELECT *, regexp_replace(host, '{PORT}', '') AS name FROM counted),
+    named AS (SELECT *, CASE WHEN regexp_matches(name, '{ADDRESS}') THEN name ELSE regexp_extract(name, '{DOMAIN}', 1) END AS domain FROM bare),
+    hosts AS (SELECT *, CASE WHEN instr(domain, '.') > 0 AND NOT regexp_matches(domain, '{ADDRESS}') THEN substr(domain, instr(domain, '.') + 1) ELSE '' END AS suffix FROM named),
     domains AS (SELECT suffix, domain, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY ALL),
     suffixes AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM domains GROUP BY ALL),
     s1 AS (SELECT {strength('suffixes')} AS s, coalesce((SELECT sum(b)::DOUBLE / nullif(sum(n), 0) FROM suffixes), 0) AS p),

@@ -6,6 +6,7 @@ from ravelin.llm.queries import URL_RULES
 URLS = [
     "http://x.example.com/fr/1", "https://WWW.Example.com/en/2?a=/es/", "https://www.example.com/en/3", "https://a.www.example.com/en/", "http://blog.example.com/en/9#x", "http://example.com/enx", "https://m.b.net/es/1", "https://net/fr/",
     "http://b.net/de/", "http://q.co.uk/a", "http://z.q.co.uk", "ftp://host.org?x#y", "no scheme", "", None, "http:///path", "http://com/", "http://notcom/en/", "http://127.0.0.1:80/x", "a://b://c/d", "http://c.net\n/es/",
+    "http://10.9.0.1/", "http://a.example.com:8080/x", "http://example.com./y", "http://example.com.:80/", "http://[::1]:80/z", "http://[::1]/", "http://:80/", "http://.../",
 ]
 
 
@@ -63,3 +64,10 @@ def test_no_outcomes_and_no_pages(spark):
     bare = u.verdicts(pages, outcomes(labels.limit(0)), []).collect()
     assert {r.verdict for r in bare} == {"allow"}
     assert u.verdicts(pages.limit(0), outcomes(labels), URL_RULES).count() == 0
+
+
+def test_ports_dots_and_addresses(spark):
+    """Names with a port or a closing dot belong to their domain; addresses are domains of their own."""
+    hosts = {"a.example.com:8080": ("example.com", "com"), "example.com.": ("example.com", "com"), "example.com.:80": ("example.com", "com"), "127.0.0.1:80": ("127.0.0.1", ""), "10.9.0.1": ("10.9.0.1", ""), "[::1]:80": ("[::1]", ""), "x.q.co.uk": ("q.co.uk", "co.uk"), "com": ("com", ""), "": ("", "")}
+    df = spark.createDataFrame([(x,) for x in hosts], "host string").select("host", u.domain_of(F.col("host")).alias("d"))
+    assert {r.host: (r.d, r.s) for r in df.select("host", "d", u.suffix_of(F.col("d")).alias("s")).collect()} == hosts
