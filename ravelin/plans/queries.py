@@ -52,6 +52,11 @@ def review_summary(spark, d):
     return explore.review_summary(tables.reviews(spark, d), YEAR)
 
 
+@query(f"WITH {REVIEWS} SELECT count(*) AS n_review, count(*) FILTER (WHERE substr(date, 1, 4) = '{YEAR}') AS n_review_year, count(DISTINCT user_id) AS n_user, count(DISTINCT business_id) AS n_business FROM reviews")
+def review_summary_dense(spark, d):
+    return explore.review_summary_dense(tables.reviews(spark, d), YEAR)
+
+
 @query(f"WITH {REVIEWS} SELECT count(*) AS n FROM reviews WHERE substr(date, 1, 4) = '{YEAR}'")
 def reviews_in_year(spark, d):
     return explore.reviews_in_year(tables.reviews(spark, d), YEAR).agg(F.count("*").alias("n"))

@@ -33,6 +33,16 @@ def test_summary(reviews):
     assert rows(explore.review_summary(reviews.limit(0))) == [(0, 0, 0, 0)]
 
 
+def test_dense_summary(spark):
+    """The same as with distinct counts, whatever the words hold; null ids and an empty table; no row is expanded."""
+    made = [(k * 7 % 200, k * k % 131, f"{2016 + k % 4}-01-01") for k in range(900)] + [(None, 5, "2018-05-05"), (63, None, None), (64, 0, "2018")]
+    df = spark.createDataFrame(made, "user_id long, business_id long, date string")
+    got = explore.review_summary_dense(df)
+    assert rows(got) == rows(explore.review_summary(df)) and rows(explore.review_summary_dense(df.limit(0))) == [(0, 0, 0, 0)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "SortAggregate" not in plan
+
+
 def test_rankings_break_ties_by_id(reviews):
     assert rows(explore.top(reviews, "user_id")) == [("u1", 3), ("u2", 2), ("u3", 2), ("u4", 1), ("u5", 1)]
     assert rows(explore.top(reviews, "business_id", 3)) == [("b1", 3), ("b3", 2), ("b2", 1)]
