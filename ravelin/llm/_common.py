@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.work import work_path, written
 
-__all__ = ["BATCH_ROWS", "free_name", "payload", "remainder", "tune", "work_path", "written"]
+__all__ = ["BATCH_ROWS", "forget", "free_name", "payload", "remainder", "tune", "work_path", "written"]
 
 #: Rows handed to Python at once; long texts make large batches otherwise.
 BATCH_ROWS = 256
@@ -22,6 +22,15 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def forget(table: DataFrame) -> None:
+    """Delete a written table when all that reads it has been written itself."""
+    files = table.inputFiles()
+    if files:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def payload(text: str):
     """A text column as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
