@@ -4,7 +4,7 @@ Baskets are kept as distinct (basket, item) rows.  Supports are counted on
 vertical bitmaps: baskets are numbered, and every frequent item has one bit for
 each basket of a range.  The bitmaps of one range lie in one partition, so a
 candidate is counted range by range where its items' bitmaps are, by their
-conjunction; only counts are exchanged.  No basket meets every candidate, and no
+conjunction in numpy; only counts are exchanged.  No basket meets every candidate, and no
 occurrence of a set is written.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from ..sources.work import written
 
 #: Baskets of a range: the bits of a bitmap of ``bitmap_construct_agg``.
 RANGE_BITS = 15
+#: Candidates that a range's bitmaps meet at once.
+GROUP = 2_000
 #: Baskets of a part in ``son``, and the least share of the support in a part.
 PART_BASKETS, LEAST_LOCAL = 100_000, 8
 
@@ -71,11 +74,34 @@ def bitmaps(sets: DataFrame) -> DataFrame:
     return written(held, "bitmaps")
 
 
+def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many baskets of a range hold each of the sets that came with it."""
+    for frame in frames:
+        for held, sets in zip(frame["held"], frame["sets"], strict=True):
+            bits = {one["item"]: np.frombuffer(one["bits"], dtype=np.uint64) for one in held}
+            found, n = [], []
+            for items in sets:
+                if all(item in bits for item in items):
+                    both = bits[items[0]]
+                    for item in items[1:]:
+                        both = both & bits[item]
+                    found.append(list(items))
+                    n.append(int(np.bitwise_count(both).sum()))
+            yield pd.DataFrame({"items": pd.Series(found, dtype=object), "support": pd.Series(n, dtype="int64")})
+
+
 def supports(candidates: DataFrame, maps: DataFrame) -> DataFrame:
-    """``items, support`` of the candidates (``items``: distinct arrays) that some basket holds."""
-    parts = candidates.select("items", F.explode("items").alias("item"))
-    met = maps.repartition("range").join(parts, "item").groupBy("range", "items").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("n")).where(F.col("n") == F.size("items"))
-    return met.groupBy("items").agg(F.sum(F.bitmap_count("bits")).alias("support")).where("support > 0")
+    """``items, support`` of the candidates (``items``: distinct arrays) that some basket holds.
+
+    The bitmaps of a range lie in one row, and candidates come to it in groups:
+    no bitmap is copied for each candidate and sorted.
+    """
+    ranges = maps.groupBy("range").agg(F.collect_list(F.struct("item", "bits")).alias("held"))
+    groups = max(1, -(-candidates.count() // GROUP))
+    sets = candidates.groupBy(F.pmod(F.xxhash64("items"), F.lit(groups)).alias("group")).agg(F.collect_list("items").alias("sets"))
+    met = ranges.crossJoin(sets.select("sets"))
+    counted = met.mapInPandas(_counted, f"items {candidates.schema['items'].dataType.simpleString()}, support long")
+    return counted.groupBy("items").agg(F.sum("support").alias("support")).where("support > 0")
 
 
 def levels(rows: DataFrame, support: int, most: int | None = None) -> tuple[DataFrame, DataFrame]:
