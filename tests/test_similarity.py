@@ -40,3 +40,11 @@ def test_few_sets_are_counted_through_their_elements(spark, pairs, monkeypatch):
     got = sorted(map(tuple, few.collect()))
     monkeypatch.setattr(similarity, "FEW_SETS", 0)
     assert got == sorted(map(tuple, similarity.jaccard(pairs, names).collect())) and len(got) == len(SETS) ** 2
+
+
+def test_candidates_are_not_exchanged_to_be_distinct(pairs):
+    """Every pair was made in each band that it shares and exchanged six times to be counted once."""
+    found = similarity.candidates(similarity.buckets(similarity.signatures(pairs)), 3)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted(set(got)) == sorted(map(tuple, similarity.candidates(similarity.buckets(similarity.signatures(pairs))).collect())) and len(got) == 12
