@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from ravelin.operators import similarity
 
@@ -48,3 +50,19 @@ def test_candidates_are_not_exchanged_to_be_distinct(pairs):
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
     got = sorted(map(tuple, found.collect()))
     assert got == sorted(set(got)) == sorted(map(tuple, similarity.candidates(similarity.buckets(similarity.signatures(pairs))).collect())) and len(got) == 12
+
+
+def test_many_sets_meet_by_rare_elements(spark, monkeypatch):
+    """Every candidate took all its elements along, however unlike it was."""
+    r = random.Random(7)
+    sets = {}
+    for i in range(40):
+        base = [f"e{r.randrange(30)}" for _ in range(r.randrange(1, 12))]
+        sets[f"s{i:03d}"], sets[f"t{i:03d}"], sets[f"u{i:03d}"] = base, base, base[:-1] + ["e1"]
+    rows = spark.createDataFrame([(u, b) for b, us in sets.items() for u in us], "user_id string, business_id string")
+    for threshold in (0.5, 0.9):
+        plain = [tuple(x) for x in similarity.similar(rows, threshold).collect()]
+        monkeypatch.setattr(similarity, "FEW_SETS", 0)
+        monkeypatch.setattr(similarity, "candidates", None)  # not taken
+        assert [tuple(x) for x in similarity.similar(rows, threshold).collect()] == plain and len(plain) > 40
+        monkeypatch.undo()
