@@ -187,7 +187,7 @@ def frequent_by_fpgrowth(rows: DataFrame, support: int) -> DataFrame:
 
     if support < 1:
         raise ValueError("support must be at least 1")
-    sets = rows.groupBy("basket").agg(F.collect_set("item").alias("items"))
+    sets = item_sets(rows)  # written: baskets are made once, for the count, the single items and the trees
     n = max(1, sets.count())
     found = FPGrowth(itemsCol="items", minSupport=max(0.0, (support - 0.5) / n)).fit(sets).freqItemsets
     return found.select(F.size("items").alias("k"), F.array_sort("items").alias("items"), F.col("freq").alias("support"))

@@ -147,3 +147,12 @@ def test_supports_copy_no_bitmap_for_each_candidate(spark, monkeypatch):
     got = itemsets.supports(wanted, itemsets.bitmaps(itemsets.item_sets(rows)))
     assert {(tuple(r["items"]), r["support"]) for r in got.collect()} == {(("a", "b"), 2), (("a", "c"), 1), (("a", "b", "c"), 1)}
     assert "bitmap_and_agg" not in got._jdf.queryExecution().toString()
+
+
+def test_fpgrowth_makes_its_baskets_once(pairs, monkeypatch):
+    """Baskets were grouped for their number, and grouped again to be mined."""
+    made = []
+    plain = itemsets.written
+    monkeypatch.setattr(itemsets, "written", lambda df, name: (made.append(name), plain(df, name))[1])
+    rows = itemsets.baskets(pairs)
+    assert len(sets(itemsets.frequent_by_fpgrowth(rows, 3))) == 6 and made == ["sets"]
