@@ -167,3 +167,35 @@ def test_isotonic_against_the_min_max_formula(seed):
     knots, values = quality.isotonic(x, y)
     smooth = [(sum(pool) + 0.5) / (len(pool) + 1) for i in range(40) for pool in [[s[j] for j in range(40) if abs(fit[j] - fit[i]) < 1e-12]]]
     assert np.allclose(np.interp(np.arange(40), knots, values), np.maximum.accumulate(smooth))
+
+
+def test_toxicity_is_learnt_from_all_labelled_rows(spark):
+    """Only 2,000 rows of each class, those with the smallest hash of their id, were learnt from: words of other toxic rows stayed unknown."""
+    r = np.random.default_rng(6)
+    ids = spark.range(5000).orderBy(F.xxhash64("id"), "id").toPandas()["id"].tolist()
+    toxic, clean = ids[:2500], ids[2500:]
+    bad = {i: "zonk" if n >= 2000 else "evil" for n, i in enumerate(toxic)}
+    rows = [(i, " ".join([f"w{k}" for k in r.integers(0, 60, 8)] + ([bad[i]] if i in bad else [])), "en", int(i in bad)) for i in toxic + clean]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = toxicity.fit(docs, docs.select("doc_id", "toxic"), F.lit(True))
+    plain, evil, zonk = model.score([toxicity.words(t) for t in (b"w1 w2 w3 w4", b"w1 w2 evil w3 w4", b"w1 w2 zonk w3 w4")])
+    assert plain < 0.5 < min(evil, zonk)
+
+
+def test_parts_are_averaged(spark, data, monkeypatch):
+    """Rows in several parts, each passed over by a task of its own, teach what one part does; the same on every run."""
+    monkeypatch.setattr(toxicity, "PART_ROWS", 150)
+    monkeypatch.setattr(toxicity, "PASSES", (4, 20))
+    docs, labels = data
+    model = toxicity.fit(docs, labels, toxicity.training_rows())
+    got = docs.where(~toxicity.training_rows()).collect()
+    p = model.score([toxicity.words(r.text.encode()) for r in got])
+    assert auc(p, [r.doc_id % 4 == 0 for r in got]) > 0.97 and {None, "en", "de"} >= set(model.thresholds)
+    assert toxicity.fit(docs, labels, toxicity.training_rows()).score([toxicity.words(r.text.encode()) for r in got]).tolist() == p.tolist()
+
+
+def test_counted_logits_calibrate_like_their_rows():
+    r = np.random.default_rng(8)
+    z, y = np.rint(r.normal(0, 2, 3000)), (r.random(3000) < 0.3).astype(float)
+    pairs, n = np.unique(np.stack([z, y], axis=1), axis=0, return_counts=True)
+    assert np.allclose(toxicity._platt(z, y), toxicity._platt(pairs[:, 0], pairs[:, 1], n.astype(float)), atol=0.02)
