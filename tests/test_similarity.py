@@ -66,3 +66,18 @@ def test_many_sets_meet_by_rare_elements(spark, monkeypatch):
         monkeypatch.setattr(similarity, "candidates", None)  # not taken
         assert [tuple(x) for x in similarity.similar(rows, threshold).collect()] == plain and len(plain) > 40
         monkeypatch.undo()
+
+
+def test_elements_are_exchanged_once_and_then_as_numbers(spark, pairs, monkeypatch):
+    """All elements were exchanged ten times, six of them as texts, which at 6 GB was beyond the disk."""
+    plain = [tuple(x) for x in similarity.similar(pairs, 0.6).collect()]
+    monkeypatch.setattr(similarity, "FEW_SETS", 0)
+    for name in ("members", "dictionary"):
+        monkeypatch.setattr(similarity, name, None)  # not taken
+    assert [tuple(x) for x in similarity.similar(pairs, 0.6).collect()] == plain == [("b1", "b2", 0.75)]
+    table, m = similarity.ranked(pairs)
+    got = sorted((r.idx, sorted(r.sets)) for r in table.collect())
+    assert m == 12 and got == [(i - 1, sorted(b for b, us in SETS.items() if f"{i:02d}" in us.split())) for i in range(1, 13)]
+    monkeypatch.undo()
+    assert similarity.ranked(pairs.limit(0))[1] == 0 and similarity.similar(pairs.limit(0)).count() == 0
+    assert {r.business_id: " ".join(map(str, r.signature)) for r in similarity.signatures(pairs).collect()} == SIGNATURES
