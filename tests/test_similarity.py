@@ -81,3 +81,21 @@ def test_elements_are_exchanged_once_and_then_as_numbers(spark, pairs, monkeypat
     monkeypatch.undo()
     assert similarity.ranked(pairs.limit(0))[1] == 0 and similarity.similar(pairs.limit(0)).count() == 0
     assert {r.business_id: " ".join(map(str, r.signature)) for r in similarity.signatures(pairs).collect()} == SIGNATURES
+
+
+def test_buckets_are_numbers_where_pairs_are_made(pairs, monkeypatch):
+    """Each pair compared lists of hashes for every band, and a task made all pairs of two cells of 20,000: one took half of all time."""
+    found = similarity.buckets(similarity.signatures(pairs))
+    seen, make = {}, similarity.pairs
+
+    def spied(members, on, member, limit, parts):
+        seen["kinds"], seen["limit"] = {f.dataType.simpleString() for f in members.schema["member"].dataType["keys"].dataType}, limit
+        return make(members, on, member, limit, parts)
+
+    monkeypatch.setattr(similarity, "pairs", spied)
+    got = sorted(map(tuple, similarity.candidates(found).collect()))
+    assert seen == {"kinds": {"bigint"}, "limit": similarity.CELL} and similarity.CELL**2 <= similarity.TASK_PAIRS
+    key = {}
+    for r in found.collect():
+        key.setdefault((r.band, tuple(r.band_key)), []).append(r.business_id)
+    assert got == sorted({(a, b) for held in key.values() for a in held for b in held if a < b}) and len(got) == 12
